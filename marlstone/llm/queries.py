@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import line_dedup, packing, quality_rules, token_files, url_filters
+from marlstone.llm import line_dedup, near_dedup, packing, quality_rules, token_files, url_filters
 from marlstone.llm.common import table
 
 URL_RULES = [
@@ -24,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
     "op7_quality_rules": op7_quality_rules,
