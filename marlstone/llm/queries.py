@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import line_dedup, near_dedup, packing, quality_rules, token_files, url_filters
-from marlstone.llm.common import table
+from marlstone.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files, url_filters
+from marlstone.llm.common import table, words_of
 
 URL_RULES = [
     url_filters.path_rule("allow", "org/"),
@@ -42,6 +42,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.array_join(words_of(F.col("text")), " "), 256)
+    return left.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return book.select(
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_files": op9_token_files,
 }
