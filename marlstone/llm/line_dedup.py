@@ -13,11 +13,13 @@ that adaptive execution splits where one hash is hot.
 
 Null texts count as empty and are never changed except that null becomes empty. Rows equal in doc_id
 and text count as one document and get equal results; null ids come first. Columns other than doc_id
-and text play no part.
+and text play no part; `carry` names some to pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,23 @@ from pyspark.sql import functions as F
 DIVISOR = 3
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, h (hash of the text), n_lines and chunks: array<struct<n int, t string>> in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("h"), F.split(text, "\n").alias("ls"))
+    passed = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry]).alias("passed")
+    lines = docs.select("doc_id", passed, F.xxhash64(text).alias("h"), F.split(text, "\n").alias("ls"))
     hashed = lines.select("*", F.expr("transform(ls, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))").alias("hs"))
-    marks = hashed.select("doc_id", "h", "ls", F.expr(f"transform(hs, (x, i) -> (coalesce(get(hs, i - 1), 0L) * 31 + x) % {DIVISOR} = 0)").alias("ms"))
+    marks = hashed.select("doc_id", "passed", "h", "ls", F.expr(f"transform(hs, (x, i) -> (coalesce(get(hs, i - 1), 0L) * 31 + x) % {DIVISOR} = 0)").alias("ms"))
     ends = marks.select(
         "doc_id",
+        "passed",
         "h",
         "ls",
         F.expr("filter(sequence(1, size(ls)), i -> i = size(ls) or (i >= 2 and i <= size(ls) - 2 and ms[i - 1] and not ms[i - 2]))").alias("es"),
     )
     return ends.select(
         "doc_id",
+        "passed",
         "h",
         F.size("ls").alias("n_lines"),
         F.expr(
@@ -48,9 +53,9 @@ def chunked(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, n_lines int, n_chunks int, n_removed_lines int, text (what is left, lines joined by \\n)."""
-    cut = chunked(docs)
+    cut = chunked(docs, carry)
     # the outer form, as the inner one would push a test of `chunks` below the projections and evaluate them twice, nested
     chunks = cut.select("doc_id", "h", F.posexplode_outer("chunks").alias("at", "c")).where("c.n >= 2")
     place = F.struct(F.col("doc_id"), F.col("h"), F.col("at"))
@@ -73,6 +78,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = cut.join(others, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     left = joined.select(
         "doc_id",
+        "passed",
         "n_lines",
         F.size("chunks").alias("n_chunks"),
         F.expr("if(gone is null, chunks, filter(chunks, (c, i) -> not array_contains(gone, named_struct('at', i, 't', c.t))))").alias("kept"),
@@ -83,4 +89,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "n_chunks",
         F.expr("n_lines - aggregate(kept, 0, (a, c) -> a + c.n)").alias("n_removed_lines"),
         F.expr("array_join(transform(kept, c -> c.t), '\n')").alias("text"),
+        *[F.col("passed").getField(c).alias(c) for c in carry],
     )

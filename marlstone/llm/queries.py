@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files, url_filters
+from marlstone.llm import html_extraction, line_dedup, near_dedup, packing, quality_rules, sentence_pieces, substring_dedup, token_files, topk_search, url_filters
 from marlstone.llm.common import table, words_of
 
 URL_RULES = [
@@ -42,6 +42,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.array_join(words_of(F.col("text")), " "), 256)
@@ -63,16 +67,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
+    "op5_topk_search": op5_topk_search,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_files": op9_token_files,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }

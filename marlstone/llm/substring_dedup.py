@@ -16,12 +16,13 @@ stands twice in the corpus lies in two super-k-mers of the same minimiser value.
 
 All comparisons of windows are of the words' bytes. Joins on hot minimisers or strings are equi-joins, which adaptive
 execution splits. Null texts have no words. Every row is a document of its own, so repeated rows repeat each
-other's windows and get equal results; null ids are allowed. Columns other than doc_id and text play no part.
+other's windows and get equal results; null ids are allowed. Columns other than doc_id and text play no part;
+`carry` names some to pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,9 @@ def super_kmers(words: list[bytes], size: int, run: int) -> tuple[np.ndarray, np
     return first, h[at[first]].view(np.int64)
 
 
-def with_hash(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+def with_hash(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    passed = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry]).alias("passed")
+    return docs.select("doc_id", "text", passed, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
 
 
 def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
@@ -86,7 +88,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
             columns = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (firsts, minis)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), columns[0].cast(pa.int32()), columns[1]], ["doc_id", "h", "first", "mini"])
 
-    return hashed.mapInArrow(go, "doc_id long, h long, first int, mini long")
+    return hashed.select("doc_id", "text", "h").mapInArrow(go, "doc_id long, h long, first int, mini long")
 
 
 def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
@@ -178,9 +180,9 @@ def counted_apart(strings: DataFrame, size: int) -> DataFrame:
     return windows.join(twice, "w").groupBy("s").agg(F.collect_set("at").alias("at"))
 
 
-def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, n_words long, n_removed long, text (the words that are left, one space between; as it came if none goes)."""
-    hashed = with_hash(docs.select("doc_id", "text"))
+    hashed = with_hash(docs, carry)
     kmers = places(hashed, size, run)
     shared = kmers.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini", (F.col("n") > LARGE).alias("large"))
     lists = kmers.join(shared, "mini").groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "large")).alias("listed"))
@@ -212,7 +214,15 @@ def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN) -> DataFram
                     keep = np.cumsum(steps[:-1]) == 0
                     removed.append(int(len(words) - keep.sum()))
                     texts.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode() if removed[-1] else text)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
-
-    joined = hashed.join(gone, same, "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(go, "doc_id long, n_words long, n_removed long, text string")
+                made = pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+                if carry:
+                    yield pa.RecordBatch.from_arrays([*made.columns, part.column(3)], [*made.schema.names, "passed"])
+                else:
+                    yield made
+
+    joined = hashed.join(gone, same, "left").select("doc_id", "text", "gone", *["passed"] * bool(carry))
+    schema = "doc_id long, n_words long, n_removed long, text string"
+    if not carry:
+        return joined.mapInArrow(go, schema)
+    kind = hashed.schema["passed"].dataType.simpleString()
+    return joined.mapInArrow(go, f"{schema}, passed {kind}").select("doc_id", "n_words", "n_removed", "text", *[F.col("passed").getField(c).alias(c) for c in carry])
