@@ -4,12 +4,12 @@
    Documents of equal word sequences are one class, named by the digest of its words.
 2. The forest has 32 trees: each tree orders all classes by a sequence of 10 of those values, its own four first. The orders are range-partitioned, so a dense region of equal
    prefixes spreads over tasks, and are walked as sorted streams. A region is a run of equal first four values.
-3. Candidates are neighbours of longest common prefix. Each class is paired with its region's first one, and
-   with earlier ones of the region: with all of them while the region is small, and, as it grows, with
-   the nearest in the order, whose common prefixes are the longest there. So depth adapts to
-   density. The few rows around the cuts between tasks are walked once more together.
-4. Pairs with a region's first are confirmed on the whole shingle sets of the texts and make components. Then the
-   other pairs that still join two components are confirmed, and the components are made anew.
+3. Candidates are neighbours of longest common prefix. A first walk pairs each class with its region's smallest
+   one; these pairs are confirmed on the whole shingle sets of the texts and make components.
+4. A second walk pairs each class with earlier ones of its region that are of other components: with all of them
+   while the region is small, and, as it grows, with the nearest in the order, whose common prefixes are the
+   longest there. So depth adapts to density. Confirmed, they make the components anew.
+   In both walks the few rows around the cuts between tasks are walked once more together.
 
 A link of similarity 0.8 shares a region in one tree with probability 0.8^4; all of 32 trees miss it with
 (1 - 0.41)^32 = 5e-8. In regions of more than `NEAR` classes a link is found through the region's first, through
@@ -123,7 +123,7 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """A row for each tree and class: tree, label (the tree's values in its order), node."""
+    """A row for each tree and class (node, values, component): tree, label (the tree's values in its order), node, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,92 +133,88 @@ def forest(classes: DataFrame) -> DataFrame:
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u2").reshape(n, TREES * FIRST)
                 raw = values[:, _ORDER].tobytes()
                 labels = pa.array([raw[width * k : width * (k + 1)] for k in range(n * TREES)], pa.binary())
-                nodes = part.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, nodes], ["tree", "label", "node"])
+                each = pa.array(np.repeat(np.arange(n), TREES))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, part.column(0).take(each), part.column(2).take(each)], TREE)
 
-    return classes.select("node", "values").mapInArrow(run, "tree int, label binary, node binary")
+    return classes.select("node", "values", "component").mapInArrow(run, "tree int, label binary, node binary, component binary")
 
 
-PAIRS = "a binary, b binary, star boolean, tree int, label binary, node binary"
+TREE = ["tree", "label", "node", "component"]
+PAIRS = "a binary, b binary, tree int, label binary, node binary, component binary"
 
 
 class Walk:
-    """A sorted stream of one region after another: rows come in, pairs go out."""
+    """A sorted stream of one region after another: rows come in, pairs go out. A null component is a class's own."""
 
-    def __init__(self) -> None:
-        self.region, self.first, self.recent, self.seen = None, None, [], 0
+    def __init__(self, stars: bool) -> None:
+        self.stars, self.region, self.first, self.recent, self.seen = stars, None, None, [], 0
 
-    def row(self, region: tuple[int, bytes], node: bytes) -> list[tuple[bytes, bytes, bool]]:
+    def row(self, region: tuple[int, bytes], node: bytes, component: bytes | None) -> list[tuple[bytes, bytes]]:
+        component = component or node
         if region != self.region:
-            self.region, self.first, self.recent, self.seen = region, node, [node], 1
+            self.region, self.first, self.recent, self.seen = region, node, [(node, component)], 1
             return []
-        pairs = [(self.first, node, True)]
+        if self.stars:
+            return [(self.first, node)]
         near = self.recent if self.seen <= NEAR else self.recent[-NEAREST:]
-        pairs += [(other, node, False) for other in near if other != self.first]
-        self.recent.append(node)
+        pairs = [(other, node) for other, its in near if its != component]
+        self.recent.append((node, component))
         self.seen += 1
         if len(self.recent) > NEAR:
             del self.recent[0]
         return pairs
 
 
-def walked(ordered: DataFrame, edges: bool) -> DataFrame:
+def walked(ordered: DataFrame, stars: bool, edges: bool) -> DataFrame:
     """Candidate pairs of a frame whose partitions are sorted ranges; with `edges`, also the rows at their ends, for another walk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, pairs = Walk(), []
-        head: list[tuple[int, bytes, bytes]] = []
-        tail: list[tuple[int, bytes, bytes]] = []
+        walk, pairs = Walk(stars), []
+        head: list[tuple] = []
+        tail: list[tuple] = []
 
-        def out(ends: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        def out(ends: list[tuple]) -> pa.RecordBatch:
             n, m = len(pairs), len(ends)
-            columns = list(zip(*pairs)) or [(), (), ()]
-            last = list(zip(*ends)) or [(), (), ()]
-            none = [None]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*columns[0], *none * m], pa.binary()),
-                    pa.array([*columns[1], *none * m], pa.binary()),
-                    pa.array([*columns[2], *none * m], pa.bool_()),
-                    pa.array([*none * n, *last[0]], pa.int32()),
-                    pa.array([*none * n, *last[1]], pa.binary()),
-                    pa.array([*none * n, *last[2]], pa.binary()),
-                ],
-                ["a", "b", "star", "tree", "label", "node"],
-            )
+            columns, last = list(zip(*pairs)) or [(), ()], list(zip(*ends)) or [(), (), (), ()]
+            arrays = [pa.array([*c, *[None] * m], pa.binary()) for c in columns]
+            arrays += [pa.array([*[None] * n, *c], kind) for c, kind in zip(last, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, ["a", "b", *TREE])
 
         for batch in batches:
-            for tree, label, node in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                tree, label, node, component = row
+                region = (tree, label[:REGION])
                 if edges:
                     if len(head) < NEAR:
-                        head.append((tree, label, node))
-                    if walk.region != (tree, label[:REGION]):
-                        tail = [(tree, label, node)]  # the region's first, which later tasks need
+                        head.append(row)
+                    if walk.region != region:
+                        tail = [row]  # the region's first, which later tasks need
                     else:
-                        tail.append((tree, label, node))
+                        tail.append(row)
                         if len(tail) > NEAR + 1:
                             del tail[1]
-                pairs += walk.row((tree, label[:REGION]), node)
+                pairs += walk.row(region, node, component)
             if len(pairs) > 20_000:
                 yield out([])
                 pairs = []
         yield out(list(dict.fromkeys([*head, *tail])))
 
-    return ordered.select("tree", "label", "node").mapInArrow(run, PAIRS)
+    return ordered.select(*TREE).mapInArrow(run, PAIRS)
 
 
-def candidates(trees: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) with star: whether it holds the first of some region."""
+def candidates(trees: DataFrame, stars: bool) -> DataFrame:
+    """Distinct pairs (a < b): of each class with its region's first one (stars), or with near ones of other components."""
     order = ["tree", "label", "node"]
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if stars:  # within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ
+        trees = trees.withColumn("label", F.substring("label", 1, REGION))
     # with the node in the order, equal labels can lie on both sides of a cut
-    found = staged(walked(trees.repartitionByRange(n, *order).sortWithinPartitions(*order), True), "pairs")
+    found = staged(walked(trees.repartitionByRange(n, *order).sortWithinPartitions(*order), stars, True), "pairs")
     # at most 2 * NEAR + 1 rows of each task: a region that a cut goes through is walked again from its parts' ends
-    ends = found.where("node is not null").select(*order).distinct()
-    region = F.substring("label", 1, REGION)
-    again = walked(ends.repartition("tree", region).sortWithinPartitions(*order), False)
-    pairs = found.where("node is null").select("a", "b", "star").union(again.select("a", "b", "star"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "star").where("a != b").groupBy("a", "b").agg(F.max("star").alias("star"))
+    ends = found.where("node is not null").select(*TREE).distinct()
+    again = walked(ends.repartition("tree", F.substring("label", 1, REGION)).sortWithinPartitions(*order), stars, False)
+    pairs = found.where("node is null").select("a", "b").union(again.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -249,20 +245,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = rows.where("node is not null and doc_id is not null")
     least = [F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.count(F.lit(1)).alias("n_class")]
     classes = staged(named.groupBy("node").agg(*least), "classes")
-    pairs = staged(candidates(forest(classes)), "candidates")
+    pairs = staged(candidates(forest(classes.withColumn("component", F.lit(None).cast("binary"))), True), "candidates")
+    links = staged(confirmed(pairs, with_texts(docs, classes, pairs), size, percent), "links")
+    label = staged(components(links), "labels")
 
-    # one text of each class that is in a pair: of its smallest doc_id, and by the digest, as rows of one doc_id may differ
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.join(paired, "node").select(F.col("low").alias("doc_id"), "node", "n_shingles")
-    texts = staged(of_node(docs.selectExpr("doc_id", "text").join(wanted, "doc_id")), "texts")
-
-    links = staged(confirmed(pairs.where("star").select("a", "b"), texts, size, percent), "links")
-    label = components(links)
-    rest = pairs.where("not star").select("a", "b")
-    for side in ("a", "b"):
-        rest = rest.join(label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
-    apart = rest.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b")
-    more = staged(confirmed(apart, texts, size, percent), "links")
+    named = classes.join(label.select("node", F.col("label").alias("component")), "node", "left")
+    apart = staged(candidates(forest(named), False), "candidates")
+    more = staged(confirmed(apart, with_texts(docs, classes, apart), size, percent), "links")
     label = staged(components(links.union(more)), "labels")
 
     known = classes.select("node", "low", "n_class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -276,6 +265,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
+def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text, n_shingles of each class in a pair: the text of its smallest doc_id, by the digest too, as rows of one doc_id may differ."""
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = classes.join(paired, "node").select(F.col("low").alias("doc_id"), "node", "n_shingles")
+    return staged(of_node(docs.selectExpr("doc_id", "text").join(wanted, "doc_id")), "texts")
+
+
 def of_node(rows: DataFrame) -> DataFrame:
     """node, text, n_shingles: a row for each node, of the rows whose text has the node's words."""
 
