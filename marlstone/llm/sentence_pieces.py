@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Characters that are indexed at once, and words that a worker remembers.
-INDEXED, REMEMBERED = 200_000, 500_000
+INDEXED, REMEMBERED = 200_000, 800_000
 
 
 class Pieces:
@@ -84,7 +84,7 @@ class Pieces:
         """Whether piece b may stand behind piece a; a of -1: at a unit's start."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_500_000:
+            if len(self.fits) > 3_000_000:
                 self.fits.clear()
             before = [self.text[a]] if a >= 0 else []
             known = self.fits[a, b] = self.merged("".join(before) + self.text[b]) == [*before, self.text[b]]
