@@ -6,14 +6,15 @@
    prefixes spreads over tasks, and are walked as sorted streams. A region is a run of equal first four values.
 3. Candidates are neighbours of longest common prefix. A first walk pairs each class with its region's smallest
    one; these pairs are confirmed on the whole shingle sets of the texts and make components.
-4. A second walk pairs each class with earlier ones of its region that are of other components: with all of them
-   while the region is small, and, as it grows, with the nearest in the order, whose common prefixes are the
-   longest there. So depth adapts to density. Confirmed, they make the components anew.
-   In both walks the few rows around the cuts between tasks are walked once more together.
+4. A second walk takes the classes that have any pair and looks within each region at all others that lie up to
+   `WIDE` rows away in the order, so depth adapts to density: a region of up to `WIDE` classes is compared as a whole,
+   a denser one by its longest common prefixes. Pairs of different components whose sizes and whose sketches
+   (two bits of each of 512 further MinHash values) allow the similarity are candidates; against a component
+   larger than its own, a class takes its `PARTNERS` best ones. Confirmed, they make the components anew.
+   In both walks the rows around the cuts between tasks are walked once more together.
 
 A link of similarity 0.8 shares a region in one tree with probability 0.8^4; all of 32 trees miss it with
-(1 - 0.41)^32 = 5e-8. In regions of more than `NEAR` classes a link is found through the region's first, through
-neighbours in any of the trees or through components that these make.
+(1 - 0.41)^32 = 5e-8. A sketch rejects it beyond six standard deviations, with about 1e-8.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows with a null
 doc_id get their own row, with component_id null and kept true, and link with nothing. Repeated rows, and
@@ -24,11 +25,10 @@ other than doc_id and text play no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +39,18 @@ TREES, FIRST, DEPTH = 32, 4, 10
 #: Bytes of a value in a signature, and of a label's part that names a region.
 WIDTH = 2
 REGION = WIDTH * FIRST
-#: A region's rows are paired with all earlier ones up to the first number, and with the second number of nearest ones beyond.
-NEAR, NEAREST = 24, 6
+#: Rows of a region that lie up to so many places apart are compared; candidates of a class in a larger component.
+WIDE, PARTNERS = 1024, 4
+#: MinHash values in a sketch, of two bits each.
+SKETCH = 512
+#: Regions of up to so many rows are compared in plain Python, which is faster there.
+FEW = 12
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * FIRST, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SKETCH_ODD = np.random.default_rng(20240301).integers(1, 2**32, SKETCH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_LOW_BITS = 0x5555555555555555
+_ALL_LOW_BITS = int.from_bytes(b"\x55" * (SKETCH // 4), "little")
 #: The values that each tree reads: its own four, then others' at a stride that differs from tree to tree.
 _ORDER = np.array([[4 * t + k for k in range(FIRST)] + [(4 * t + (2 * t + 5) * k + 4) % (TREES * FIRST) for k in range(DEPTH - FIRST)] for t in range(TREES)])
 
@@ -84,16 +91,33 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """128 MinHash values by multiplicative permutations of 32-bit folds of the hashes, each hashed to 16 bits."""
+def minima(found: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """MinHash values by multiplicative permutations of 32-bit folds of the hashes, each hashed to 32 bits."""
     folded = (found >> _U(32)).astype(np.uint32)
-    least = np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(folded), 2048):
-        np.minimum(least, np.multiply.outer(_ODD, folded[at : at + 2048]).min(axis=1), out=least)
+    least = np.full(len(odd), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(folded), 1024):
+        np.minimum(least, np.multiply.outer(odd, folded[at : at + 1024]).min(axis=1), out=least)
     least *= np.uint32(0x85EBCA6B)
     least ^= least >> np.uint32(13)
     least *= np.uint32(0xC2B2AE35)
-    return (least >> np.uint32(16)).astype(">u2")
+    return least
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """128 MinHash values of 16 bits."""
+    return (minima(found, _ODD) >> np.uint32(16)).astype(">u2")
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """512 MinHash values of two bits, packed."""
+    two = (minima(found, _SKETCH_ODD) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+
+
+def most_differing(percent: int) -> int:
+    """Values of two sketches that differ at most if the sets are similar: six standard deviations above the mean."""
+    p = (1 - percent / 100) * 3 / 4
+    return int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -104,26 +128,38 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, node (digest of the word sequence, null without words), n_shingles, values (the signature)."""
+    """doc_id, node (digest of the word sequence, null without words), n_shingles, values (the signature), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, values = [], [], []
+            nodes, counts, values, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 found = shingles(words, size)
                 nodes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                 counts.append(len(found))
                 values.append(signature(found).tobytes() if words else None)
+                sketches.append(sketch(found) if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "node", "n_shingles", "values"]
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "node", "n_shingles", "values", "sketch"],
             )
 
-    return docs.selectExpr("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, values binary")
+    return docs.selectExpr("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, values binary, sketch binary")
+
+
+#: Columns of a tree's rows: the order, and what the second walk compares.
+ORDER = {"tree": pa.int32(), "label": pa.binary(), "node": pa.binary()}
+COMPARED = {"component": pa.binary(), "n_shingles": pa.int64(), "sketch": pa.binary()}
+
 
+def schema(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {({pa.int32(): 'int', pa.int64(): 'long'}).get(kind, 'binary')}" for name, kind in columns.items())
 
-def forest(classes: DataFrame) -> DataFrame:
-    """A row for each tree and class (node, values, component): tree, label (the tree's values in its order), node, component."""
+
+def forest(classes: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """A row for each tree and class (node, values and what is carried): tree, label (the tree's values in its order), node, the carried."""
+    columns = ORDER | {c: COMPARED[c] for c in carried}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,87 +170,141 @@ def forest(classes: DataFrame) -> DataFrame:
                 raw = values[:, _ORDER].tobytes()
                 labels = pa.array([raw[width * k : width * (k + 1)] for k in range(n * TREES)], pa.binary())
                 each = pa.array(np.repeat(np.arange(n), TREES))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, part.column(0).take(each), part.column(2).take(each)], TREE)
-
-    return classes.select("node", "values", "component").mapInArrow(run, "tree int, label binary, node binary, component binary")
-
-
-TREE = ["tree", "label", "node", "component"]
-PAIRS = "a binary, b binary, tree int, label binary, node binary, component binary"
-
+                passed = [part.column(k).take(each) for k in (0, *range(2, 2 + len(carried)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, *passed], list(columns))
+
+    return classes.select("node", "values", *carried).mapInArrow(run, schema(columns))
+
+
+def compared(rows: list[tuple], most: int, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Candidate pairs among rows (node, component, n_shingles, sketch)."""
+    if len(rows) <= FEW:
+        bits = [int.from_bytes(row[3], "little") for row in rows]
+        for k, (node, component, n, _) in enumerate(rows):
+            for j in range(k):
+                other, its, m, _ = rows[j]
+                if its != component and 100 * min(n, m) >= percent * max(n, m):
+                    apart = bits[k] ^ bits[j]
+                    if ((apart | apart >> 1) & _ALL_LOW_BITS).bit_count() <= most:
+                        yield other, node
+        return
+    sizes: dict[bytes, int] = {}
+    for row in rows:
+        sizes[row[1]] = sizes.get(row[1], 0) + 1
+    place = {c: k for k, c in enumerate(sorted(sizes, key=lambda c: (sizes[c], c)))}
+    rank = np.array([place[row[1]] for row in rows])
+    counts = np.array([row[2] for row in rows])
+    bits = np.frombuffer(b"".join(row[3] for row in rows), "<u8").reshape(len(rows), -1)
+    asking = np.flatnonzero(rank < len(place) - 1)
+    step = max(1, 40_000 // len(rows))
+    for at in range(0, len(asking), step):
+        some = asking[at : at + step]
+        apart = bits[some][:, None, :] ^ bits[None, :, :]
+        apart |= apart >> _U(1)
+        apart &= _U(_LOW_BITS)
+        differing = np.bitwise_count(apart).sum(axis=2, dtype=np.int32)
+        n, m = counts[some][:, None], counts[None, :]
+        fits = (differing <= most) & (rank[None, :] > rank[some][:, None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        a, b = np.nonzero(fits)
+        order = np.lexsort((differing[a, b], rank[b], a))
+        taken: tuple[int, int] | None = None
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            if (x, rank[y]) != taken:
+                taken, left = (x, rank[y]), PARTNERS
+            if left:
+                left -= 1
+                yield rows[some[x]][0], rows[y][0]
+
+
+class Stars:
+    """A sorted stream of regions: each class with its region's first."""
+
+    keeps = 1
+
+    def __init__(self) -> None:
+        self.region, self.first = None, None
+
+    def row(self, region: tuple[int, bytes], row: tuple) -> Iterator[tuple[bytes, bytes]]:
+        if region == self.region:
+            yield self.first, row[2]
+        else:
+            self.region, self.first = region, row[2]
+
+    def end(self) -> Iterator[tuple[bytes, bytes]]:
+        return iter(())
+
+
+class Blocks:
+    """A sorted stream of regions: blocks of up to 2 * WIDE rows, overlapping by WIDE, are compared as wholes."""
+
+    keeps = WIDE
+
+    def __init__(self, percent: int) -> None:
+        self.region, self.held, self.fresh, self.percent, self.most = None, [], False, percent, most_differing(percent)
+
+    def row(self, region: tuple[int, bytes], row: tuple) -> Iterator[tuple[bytes, bytes]]:
+        if region != self.region:
+            yield from self.end()
+            self.region, self.held = region, []
+        elif len(self.held) == 2 * WIDE:
+            yield from self.end()
+            del self.held[:WIDE]
+        self.held.append(row[2:])
+        self.fresh = True
 
-class Walk:
-    """A sorted stream of one region after another: rows come in, pairs go out. A null component is a class's own."""
+    def end(self) -> Iterator[tuple[bytes, bytes]]:
+        if self.fresh and any(row[1] != self.held[0][1] for row in self.held):
+            yield from compared(self.held, self.most, self.percent)
+        self.fresh = False
 
-    def __init__(self, stars: bool) -> None:
-        self.stars, self.region, self.first, self.recent, self.seen = stars, None, None, [], 0
 
-    def row(self, region: tuple[int, bytes], node: bytes, component: bytes | None) -> list[tuple[bytes, bytes]]:
-        component = component or node
-        if region != self.region:
-            self.region, self.first, self.recent, self.seen = region, node, [(node, component)], 1
-            return []
-        if self.stars:
-            return [(self.first, node)]
-        near = self.recent if self.seen <= NEAR else self.recent[-NEAREST:]
-        pairs = [(other, node) for other, its in near if its != component]
-        self.recent.append((node, component))
-        self.seen += 1
-        if len(self.recent) > NEAR:
-            del self.recent[0]
-        return pairs
-
-
-def walked(ordered: DataFrame, stars: bool, edges: bool) -> DataFrame:
+def walked(ordered: DataFrame, columns: dict[str, pa.DataType], begin: Callable[[], Stars | Blocks], edges: bool) -> DataFrame:
     """Candidate pairs of a frame whose partitions are sorted ranges; with `edges`, also the rows at their ends, for another walk."""
+    made = {"a": pa.binary(), "b": pa.binary()} | columns
+
+    def table(pairs: dict[tuple, None], ends: list[tuple]) -> pa.RecordBatch:
+        rows = [(*pair, *[None] * len(columns)) for pair in pairs] + [(None, None, *end) for end in ends]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * len(made), made.values())], list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, pairs = Walk(stars), []
+        walk, pairs = begin(), {}
+        opening: tuple | None = None
         head: list[tuple] = []
         tail: list[tuple] = []
-
-        def out(ends: list[tuple]) -> pa.RecordBatch:
-            n, m = len(pairs), len(ends)
-            columns, last = list(zip(*pairs)) or [(), ()], list(zip(*ends)) or [(), (), (), ()]
-            arrays = [pa.array([*c, *[None] * m], pa.binary()) for c in columns]
-            arrays += [pa.array([*[None] * n, *c], kind) for c, kind in zip(last, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(arrays, ["a", "b", *TREE])
-
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                tree, label, node, component = row
-                region = (tree, label[:REGION])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
+                region = (row[0], row[1][:REGION])
                 if edges:
-                    if len(head) < NEAR:
+                    opening = opening or region
+                    if region == opening and len(head) < walk.keeps:
                         head.append(row)
-                    if walk.region != region:
-                        tail = [row]  # the region's first, which later tasks need
-                    else:
-                        tail.append(row)
-                        if len(tail) > NEAR + 1:
-                            del tail[1]
-                pairs += walk.row(region, node, component)
+                    if region != walk.region:
+                        tail = []
+                    tail.append(row)
+                    if len(tail) > walk.keeps:  # a star's tail is its first row, a block's its last ones
+                        del tail[1 if walk.keeps == 1 else 0]
+                pairs.update(dict.fromkeys((min(p), max(p)) for p in walk.row(region, row)))
             if len(pairs) > 20_000:
-                yield out([])
-                pairs = []
-        yield out(list(dict.fromkeys([*head, *tail])))
+                yield table(pairs, [])
+                pairs = {}
+        pairs.update(dict.fromkeys((min(p), max(p)) for p in walk.end()))
+        yield table(pairs, list(dict.fromkeys([*head, *tail])))
 
-    return ordered.select(*TREE).mapInArrow(run, PAIRS)
+    return ordered.select(*columns).mapInArrow(run, schema(made))
 
 
-def candidates(trees: DataFrame, stars: bool) -> DataFrame:
-    """Distinct pairs (a < b): of each class with its region's first one (stars), or with near ones of other components."""
-    order = ["tree", "label", "node"]
+def candidates(trees: DataFrame, begin: Callable[[], Stars | Blocks]) -> DataFrame:
+    """Distinct pairs (a < b) of one walk."""
+    order, columns = list(ORDER), {c: (ORDER | COMPARED)[c] for c in trees.columns}
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if stars:  # within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ
+    if len(columns) == len(ORDER):  # stars: within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ
         trees = trees.withColumn("label", F.substring("label", 1, REGION))
     # with the node in the order, equal labels can lie on both sides of a cut
-    found = staged(walked(trees.repartitionByRange(n, *order).sortWithinPartitions(*order), stars, True), "pairs")
-    # at most 2 * NEAR + 1 rows of each task: a region that a cut goes through is walked again from its parts' ends
-    ends = found.where("node is not null").select(*TREE).distinct()
-    again = walked(ends.repartition("tree", F.substring("label", 1, REGION)).sortWithinPartitions(*order), stars, False)
-    pairs = found.where("node is null").select("a", "b").union(again.select("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    found = staged(walked(trees.repartitionByRange(n, *order).sortWithinPartitions(*order), columns, begin, True), "pairs")
+    # at most 2 * keeps rows of each task: a region that a cut goes through is walked again from its parts' ends
+    ends = found.where("node is not null").select(*columns)
+    again = walked(ends.repartition("tree", F.substring("label", 1, REGION)).sortWithinPartitions(*order), columns, begin, False)
+    return found.where("node is null").select("a", "b").union(again.select("a", "b")).where("a != b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -243,14 +333,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept, and n_class, the rows of equal words."""
     rows = staged(sized(docs, size), "sized")
     named = rows.where("node is not null and doc_id is not null")
-    least = [F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.count(F.lit(1)).alias("n_class")]
+    least = [F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_class")]
     classes = staged(named.groupBy("node").agg(*least), "classes")
-    pairs = staged(candidates(forest(classes.withColumn("component", F.lit(None).cast("binary"))), True), "candidates")
+    pairs = staged(candidates(forest(classes), Stars), "candidates")
     links = staged(confirmed(pairs, with_texts(docs, classes, pairs), size, percent), "links")
     label = staged(components(links), "labels")
 
-    named = classes.join(label.select("node", F.col("label").alias("component")), "node", "left")
-    apart = staged(candidates(forest(named), False), "candidates")
+    # every class that shares a region with another has a pair with some region's first
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    named = classes.join(paired, "node").join(label.select("node", F.col("label").alias("component")), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    apart = staged(candidates(forest(named, list(COMPARED)), lambda: Blocks(percent)), "candidates")
     more = staged(confirmed(apart, with_texts(docs, classes, apart), size, percent), "links")
     label = staged(components(links.union(more)), "labels")
 
@@ -258,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = known.groupBy("label").agg(F.min("low").alias("component_id"))
     of = known.join(least, "label").select("node", "component_id", "n_class")
     return (
-        rows.drop("values")
+        rows.drop("values", "sketch")
         .join(of, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_class", F.lit(0).cast("long")).alias("n_class"))
