@@ -5,12 +5,12 @@
 2. The forest has 32 trees: each tree orders all classes by a sequence of 10 of those values, its own four first. The orders are range-partitioned, so a dense region of equal
    prefixes spreads over tasks, and are walked as sorted streams. A region is a run of equal first four values.
 3. Candidates are neighbours of longest common prefix. A first walk pairs each class with its region's smallest
-   one; these pairs are confirmed on the whole shingle sets of the texts and make components.
+   one; these pairs are confirmed on the whole shingle sets of the texts and make parts of components.
 4. A second walk takes the classes that have any pair and looks within each region at all others that lie up to
    `WIDE` rows away in the order, so depth adapts to density: a region of up to `WIDE` classes is compared as a whole,
-   a denser one by its longest common prefixes. Pairs of different components whose sizes and whose sketches
-   (two bits of each of 512 further MinHash values) allow the similarity are candidates; against a component
-   larger than its own, a class takes its `PARTNERS` best ones. Confirmed, they make the components anew.
+   a denser one by its longest common prefixes. Pairs of different parts whose sizes and whose sketches
+   (two bits of each of 512 further MinHash values) allow the similarity are candidates; against a part
+   larger than its own, a class takes its `PARTNERS` best ones. Confirmed, they make the components.
    In both walks the rows around the cuts between tasks are walked once more together.
 
 A link of similarity 0.8 shares a region in one tree with probability 0.8^4; all of 32 trees miss it with
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
-from marlstone.llm.graphs import components
+from marlstone.llm.graphs import components, parts
 
 TREES, FIRST, DEPTH = 32, 4, 10
 #: Bytes of a value in a signature, and of a label's part that names a region.
@@ -43,6 +43,8 @@ REGION = WIDTH * FIRST
 WIDE, PARTNERS = 1024, 4
 #: MinHash values in a sketch, of two bits each.
 SKETCH = 512
+#: Shingles that a task keeps of texts while it confirms pairs.
+HELD = 2_000_000
 #: Regions of up to so many rows are compared in plain Python, which is faster there.
 FEW = 12
 
@@ -312,15 +314,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            kept = []
-            for a, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if a not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[a] = shingles(words_of(text_a), size)
-                kept.append(similar(known[a], shingles(words_of(text_b), size), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        held = 0
+        for whole in batches:
+            for batch in (whole.slice(at, 100) for at in range(0, len(whole), 100)):
+                kept = []
+                for a, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                    if a not in known:
+                        if held > HELD:
+                            known.clear()
+                            held = 0
+                        known[a] = shingles(words_of(text_a), size)
+                        held += len(known[a])
+                    kept.append(similar(known[a], shingles(words_of(text_b), size), percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     named = texts.select("node", "text", "n_shingles")
     left = pairs.join(named.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("n_shingles").alias("n_b")), "b")
@@ -337,7 +343,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = staged(named.groupBy("node").agg(*least), "classes")
     pairs = staged(candidates(forest(classes), Stars), "candidates")
     links = staged(confirmed(pairs, with_texts(docs, classes, pairs), size, percent), "links")
-    label = staged(components(links), "labels")
+    label = staged(parts(links), "labels")
 
     # every class that shares a region with another has a pair with some region's first
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
