@@ -2,16 +2,17 @@
 
 1. A document's words (A-Z lower-cased) give its set of shingles and 128 MinHash values, kept as 16-bit hashes.
    Documents of equal word sequences are one class, named by the digest of its words.
-2. The forest has 32 trees: each tree orders all classes by a sequence of 10 of those values, its own four first. The orders are range-partitioned, so a dense region of equal
-   prefixes spreads over tasks, and are walked as sorted streams. A region is a run of equal first four values.
-3. Candidates are neighbours of longest common prefix. A first walk pairs each class with its region's smallest
-   one; these pairs are confirmed on the whole shingle sets of the texts and make parts of components.
-4. A second walk takes the classes that have any pair and looks within each region at all others that lie up to
-   `WIDE` rows away in the order, so depth adapts to density: a region of up to `WIDE` classes is compared as a whole,
-   a denser one by its longest common prefixes. Pairs of different parts whose sizes and whose sketches
-   (two bits of each of 512 further MinHash values) allow the similarity are candidates; against a part
-   larger than its own, a class takes its `PARTNERS` best ones. Confirmed, they make the components.
-   In both walks the rows around the cuts between tasks are walked once more together.
+2. The forest has 32 trees: each tree puts all classes into regions, by four of those values of its own.
+3. A first walk pairs each class with its region's smallest one. The orders are range-partitioned, so a dense region
+   spreads over tasks, and are walked as sorted streams; the rows around the cuts between tasks are walked once more
+   together. These pairs are confirmed on the whole shingle sets of the texts and make parts of components.
+4. Then the classes that have any pair are compared, each with all classes of other parts in all its regions, however
+   large these are: regions of more than `WIDE` classes are cut into blocks by the classes' hashes, and every pair of
+   blocks that can hold different parts is one cell, dealt over the tasks. Pairs whose sizes and whose sketches
+   (two bits of each of 512 further MinHash values) allow the similarity are candidates, each of them made in the first
+   tree that its classes share, and nowhere else.
+5. Candidates that are among the `PARTNERS` best of both their classes are confirmed first; then all others that still
+   lie in different components. So a candidate is left out only where it could not change a component.
 
 A link of similarity 0.8 shares a region in one tree with probability 0.8^4; all of 32 trees miss it with
 (1 - 0.41)^32 = 5e-8. A sketch rejects it beyond six standard deviations, with about 1e-8.
@@ -25,27 +26,26 @@ other than doc_id and text play no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
 from marlstone.llm.graphs import components, parts
 
-TREES, FIRST, DEPTH = 32, 4, 10
-#: Bytes of a value in a signature, and of a label's part that names a region.
-WIDTH = 2
-REGION = WIDTH * FIRST
-#: Rows of a region that lie up to so many places apart are compared; candidates of a class in a larger component.
+TREES, FIRST = 32, 4
+#: Bytes of a value in a signature, and of the hash that names a region where whole regions are compared.
+WIDTH, REGION = 2, 4
+#: Classes in a block of a region; candidates of a class in another part that are confirmed first.
 WIDE, PARTNERS = 1024, 4
 #: MinHash values in a sketch, of two bits each.
 SKETCH = 512
 #: Shingles that a task keeps of texts while it confirms pairs.
 HELD = 2_000_000
-#: Regions of up to so many rows are compared in plain Python, which is faster there.
+#: Cells of up to so many rows are compared in plain Python, which is faster there.
 FEW = 12
 
 _U = np.uint64
@@ -53,8 +53,6 @@ _ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * FIRST, dtype=n
 _SKETCH_ODD = np.random.default_rng(20240301).integers(1, 2**32, SKETCH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _LOW_BITS = 0x5555555555555555
 _ALL_LOW_BITS = int.from_bytes(b"\x55" * (SKETCH // 4), "little")
-#: The values that each tree reads: its own four, then others' at a stride that differs from tree to tree.
-_ORDER = np.array([[4 * t + k for k in range(FIRST)] + [(4 * t + (2 * t + 5) * k + 4) % (TREES * FIRST) for k in range(DEPTH - FIRST)] for t in range(TREES)])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,79 +148,149 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
     return docs.selectExpr("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, values binary, sketch binary")
 
 
-#: Columns of a tree's rows: the order, and what the second walk compares.
+#: Columns of a tree's rows in the first walk, and of a cell's rows and the candidates in the second.
 ORDER = {"tree": pa.int32(), "label": pa.binary(), "node": pa.binary()}
-COMPARED = {"component": pa.binary(), "n_shingles": pa.int64(), "sketch": pa.binary()}
+CELL = ["tree", "region", "i", "j"]
+COMPARED = ["block", "node", "component", "n_shingles", "sketch", "regions"]
+CANDIDATES = {"a": pa.binary(), "b": pa.binary(), "part_a": pa.binary(), "part_b": pa.binary(), "differing": pa.int32()}
 
 
 def schema(columns: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{name} {({pa.int32(): 'int', pa.int64(): 'long'}).get(kind, 'binary')}" for name, kind in columns.items())
 
 
-def forest(classes: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """A row for each tree and class (node, values and what is carried): tree, label (the tree's values in its order), node, the carried."""
-    columns = ORDER | {c: COMPARED[c] for c in carried}
+def forest(classes: DataFrame) -> DataFrame:
+    """A row for each tree and class (node, values): tree, label (the tree's four values), node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                n, width = len(part), WIDTH * DEPTH
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u2").reshape(n, TREES * FIRST)
-                raw = values[:, _ORDER].tobytes()
+                n, width = len(part), WIDTH * FIRST
+                raw = b"".join(part.column(1).to_pylist())
                 labels = pa.array([raw[width * k : width * (k + 1)] for k in range(n * TREES)], pa.binary())
                 each = pa.array(np.repeat(np.arange(n), TREES))
-                passed = [part.column(k).take(each) for k in (0, *range(2, 2 + len(carried)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, *passed], list(columns))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), labels, part.column(0).take(each)], list(ORDER))
 
-    return classes.select("node", "values", *carried).mapInArrow(run, schema(columns))
+    return classes.select("node", "values").mapInArrow(run, schema(ORDER))
 
 
-def compared(rows: list[tuple], most: int, percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Candidate pairs among rows (node, component, n_shingles, sketch)."""
+def regions_of(values: bytes) -> bytes:
+    """32-bit hashes of each tree's four values. They define the regions of the second walk, so equal ones lose nothing."""
+    h = np.frombuffer(values, ">u8").astype(_U)
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    return (h >> _U(32)).astype("<u4").tobytes()
+
+
+def with_regions(classes: DataFrame) -> DataFrame:
+    """node, component, n_shingles, sketch, and regions in place of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions = pa.array([regions_of(v) for v in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], regions], ["node", "component", "n_shingles", "sketch", "regions"])
+
+    return classes.select("node", "component", "n_shingles", "sketch", "values").mapInArrow(run, "node binary, component binary, n_shingles long, sketch binary, regions binary")
+
+
+def compared(tree: int, rows: list[tuple], most: int, percent: int) -> Iterator[tuple]:
+    """CANDIDATES among a cell's rows (COMPARED): between its two blocks, or within its one; those that share no earlier tree."""
     if len(rows) <= FEW:
-        bits = [int.from_bytes(row[3], "little") for row in rows]
-        for k, (node, component, n, _) in enumerate(rows):
+        one = all(row[0] == rows[0][0] for row in rows)
+        bits = [int.from_bytes(row[4], "little") for row in rows]
+        for k, (block, node, part, n, _, regions) in enumerate(rows):
             for j in range(k):
-                other, its, m, _ = rows[j]
-                if its != component and 100 * min(n, m) >= percent * max(n, m):
+                its, other, another, m, _, shared = rows[j]
+                if another != part and (one or its != block) and 100 * min(n, m) >= percent * max(n, m):
                     apart = bits[k] ^ bits[j]
-                    if ((apart | apart >> 1) & _ALL_LOW_BITS).bit_count() <= most:
-                        yield other, node
+                    differing = ((apart | apart >> 1) & _ALL_LOW_BITS).bit_count()
+                    if differing <= most and all(regions[at : at + REGION] != shared[at : at + REGION] for at in range(0, REGION * tree, REGION)):
+                        yield (node, other, part, another, differing) if node < other else (other, node, another, part, differing)
         return
-    sizes: dict[bytes, int] = {}
-    for row in rows:
-        sizes[row[1]] = sizes.get(row[1], 0) + 1
-    place = {c: k for k, c in enumerate(sorted(sizes, key=lambda c: (sizes[c], c)))}
-    rank = np.array([place[row[1]] for row in rows])
-    counts = np.array([row[2] for row in rows])
-    bits = np.frombuffer(b"".join(row[3] for row in rows), "<u8").reshape(len(rows), -1)
-    asking = np.flatnonzero(rank < len(place) - 1)
-    step = max(1, 40_000 // len(rows))
-    for at in range(0, len(asking), step):
-        some = asking[at : at + step]
-        apart = bits[some][:, None, :] ^ bits[None, :, :]
-        apart |= apart >> _U(1)
-        apart &= _U(_LOW_BITS)
-        differing = np.bitwise_count(apart).sum(axis=2, dtype=np.int32)
-        n, m = counts[some][:, None], counts[None, :]
-        fits = (differing <= most) & (rank[None, :] > rank[some][:, None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        a, b = np.nonzero(fits)
-        order = np.lexsort((differing[a, b], rank[b], a))
-        taken: tuple[int, int] | None = None
-        for x, y in zip(a[order].tolist(), b[order].tolist()):
-            if (x, rank[y]) != taken:
-                taken, left = (x, rank[y]), PARTNERS
-            if left:
-                left -= 1
-                yield rows[some[x]][0], rows[y][0]
+    known: dict[bytes, int] = {}
+    parts_ = np.array([known.setdefault(row[2], len(known)) for row in rows])
+    counts = np.array([row[3] for row in rows])
+    bits = np.frombuffer(b"".join(row[4] for row in rows), "<u8").reshape(len(rows), -1)
+    regions = np.frombuffer(b"".join(row[5] for row in rows), "<u4").reshape(len(rows), TREES)
+    blocks = np.array([row[0] for row in rows])
+    lower, higher = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    within = blocks.min() == blocks.max()
+    step = max(1, 40_000 // len(higher))
+    n, m = counts[lower][:, None], counts[higher][None, :]
+    for at in range(0, len(lower), step):
+        some = slice(at, at + step)
+        fits = (parts_[lower[some]][:, None] != parts_[higher][None, :]) & (100 * np.minimum(n[some], m) >= percent * np.maximum(n[some], m))
+        if within:
+            fits &= lower[some][:, None] < higher[None, :]
+        x, y = np.nonzero(fits)
+        x, y = lower[at + x], higher[y]
+        for cut in range(0, len(x), 40_000):
+            p, q = x[cut : cut + 40_000], y[cut : cut + 40_000]
+            apart = bits[p] ^ bits[q]
+            apart |= apart >> _U(1)
+            apart &= _U(_LOW_BITS)
+            differing = np.bitwise_count(apart).sum(axis=1, dtype=np.int32)
+            close = differing <= most
+            p, q, differing = p[close], q[close], differing[close]
+            first = (regions[p] == regions[q]).argmax(axis=1) == tree
+            for k, j, d in zip(p[first].tolist(), q[first].tolist(), differing[first].tolist()):
+                a, b = (k, j) if rows[k][1] < rows[j][1] else (j, k)
+                yield rows[a][1], rows[b][1], rows[a][2], rows[b][2], d
+
+
+def cells(classes: DataFrame) -> DataFrame:
+    """CELL and COMPARED: the rows of every region where parts meet, in each of the cells that their blocks have with others.
+
+    A region's largest part needs no comparison within itself, so its blocks meet the others' only.
+    """
+    light = classes.select("node", "component", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(regions, {REGION} * t + 1, {REGION}))")).alias("tree", "region"))
+    held = light.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    held = held.select(
+        "tree",
+        "region",
+        F.col("most.component").alias("main"),
+        F.expr(f"if(n <= {WIDE}, 0, ceil(most.n / {WIDE}))").cast("int").alias("mains"),
+        F.expr(f"if(n <= {WIDE}, 1, ceil((n - most.n) / {WIDE}))").cast("int").alias("others"),
+    )
+    met = light.join(held, ["tree", "region"]).withColumn("in_main", F.expr("mains > 0 and component = main"))
+    met = met.withColumn("block", F.expr("cast(if(in_main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) as int)"))
+    met = met.select("node", "tree", "region", "block", F.expr("if(in_main, mains, 0)").alias("low"), F.expr("mains + others - 1").alias("high"))
+    whole = met.join(classes, "node").withColumn("other", F.explode(F.sequence("low", "high")))
+    return whole.select("tree", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *COMPARED)
+
+
+def meeting(classes: DataFrame, percent: int) -> DataFrame:
+    """CANDIDATES between parts, each pair (a < b) once."""
+    n, most = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), most_differing(percent)
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*found)) or [()] * len(CANDIDATES), CANDIDATES.values())], list(CANDIDATES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, found = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(CELL) + len(COMPARED)))):
+                if row[: len(CELL)] != now:
+                    if now:
+                        found += compared(now[0], rows, most, percent)
+                    now, rows = row[: len(CELL)], []
+                    if len(found) > 20_000:
+                        yield table(found)
+                        found = []
+                rows.append(row[len(CELL) :])
+        if now:
+            found += compared(now[0], rows, most, percent)
+        yield table(found)
+
+    dealt = cells(classes).repartition(n, *CELL).sortWithinPartitions(*CELL)
+    return dealt.select(*CELL, *COMPARED).mapInArrow(run, schema(CANDIDATES))
 
 
 class Stars:
     """A sorted stream of regions: each class with its region's first."""
 
-    keeps = 1
-
     def __init__(self) -> None:
         self.region, self.first = None, None
 
@@ -232,80 +300,42 @@ class Stars:
         else:
             self.region, self.first = region, row[2]
 
-    def end(self) -> Iterator[tuple[bytes, bytes]]:
-        return iter(())
-
-
-class Blocks:
-    """A sorted stream of regions: blocks of up to 2 * WIDE rows, overlapping by WIDE, are compared as wholes."""
-
-    keeps = WIDE
-
-    def __init__(self, percent: int) -> None:
-        self.region, self.held, self.fresh, self.percent, self.most = None, [], False, percent, most_differing(percent)
-
-    def row(self, region: tuple[int, bytes], row: tuple) -> Iterator[tuple[bytes, bytes]]:
-        if region != self.region:
-            yield from self.end()
-            self.region, self.held = region, []
-        elif len(self.held) == 2 * WIDE:
-            yield from self.end()
-            del self.held[:WIDE]
-        self.held.append(row[2:])
-        self.fresh = True
-
-    def end(self) -> Iterator[tuple[bytes, bytes]]:
-        if self.fresh and any(row[1] != self.held[0][1] for row in self.held):
-            yield from compared(self.held, self.most, self.percent)
-        self.fresh = False
-
 
-def walked(ordered: DataFrame, columns: dict[str, pa.DataType], begin: Callable[[], Stars | Blocks], edges: bool) -> DataFrame:
-    """Candidate pairs of a frame whose partitions are sorted ranges; with `edges`, also the rows at their ends, for another walk."""
-    made = {"a": pa.binary(), "b": pa.binary()} | columns
+def walked(ordered: DataFrame, edges: bool) -> DataFrame:
+    """Pairs of a frame whose partitions are sorted ranges; with `edges`, also the rows at their ends, for another walk."""
+    made = {"a": pa.binary(), "b": pa.binary()} | ORDER
 
     def table(pairs: dict[tuple, None], ends: list[tuple]) -> pa.RecordBatch:
-        rows = [(*pair, *[None] * len(columns)) for pair in pairs] + [(None, None, *end) for end in ends]
+        rows = [(*pair, *[None] * len(ORDER)) for pair in pairs] + [(None, None, *end) for end in ends]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * len(made), made.values())], list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, pairs = begin(), {}
-        opening: tuple | None = None
-        head: list[tuple] = []
-        tail: list[tuple] = []
+        walk, pairs = Stars(), {}
+        head: tuple | None = None
+        tail: tuple | None = None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
-                region = (row[0], row[1][:REGION])
-                if edges:
-                    opening = opening or region
-                    if region == opening and len(head) < walk.keeps:
-                        head.append(row)
-                    if region != walk.region:
-                        tail = []
-                    tail.append(row)
-                    if len(tail) > walk.keeps:  # a star's tail is its first row, a block's its last ones
-                        del tail[1 if walk.keeps == 1 else 0]
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(ORDER)))):
+                region = row[:2]
+                if edges and region != walk.region:
+                    head, tail = head or row, row  # the first row of the task, and of its last region
                 pairs.update(dict.fromkeys((min(p), max(p)) for p in walk.row(region, row)))
             if len(pairs) > 20_000:
                 yield table(pairs, [])
                 pairs = {}
-        pairs.update(dict.fromkeys((min(p), max(p)) for p in walk.end()))
-        yield table(pairs, list(dict.fromkeys([*head, *tail])))
+        yield table(pairs, list(dict.fromkeys(end for end in (head, tail) if end)))
 
-    return ordered.select(*columns).mapInArrow(run, schema(made))
+    return ordered.select(*ORDER).mapInArrow(run, schema(made))
 
 
-def candidates(trees: DataFrame, begin: Callable[[], Stars | Blocks]) -> DataFrame:
-    """Distinct pairs (a < b) of one walk."""
-    order, columns = list(ORDER), {c: (ORDER | COMPARED)[c] for c in trees.columns}
+def candidates(trees: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of the first walk."""
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if len(columns) == len(ORDER):  # stars: within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ
-        trees = trees.withColumn("label", F.substring("label", 1, REGION))
+    # within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ;
     # with the node in the order, equal labels can lie on both sides of a cut
-    found = staged(walked(trees.repartitionByRange(n, *order).sortWithinPartitions(*order), columns, begin, True), "pairs")
-    # at most 2 * keeps rows of each task: a region that a cut goes through is walked again from its parts' ends
-    ends = found.where("node is not null").select(*columns)
-    again = walked(ends.repartition("tree", F.substring("label", 1, REGION)).sortWithinPartitions(*order), columns, begin, False)
+    found = staged(walked(trees.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER), True), "pairs")
+    # at most two rows of each task: a region that a cut goes through is walked again from its parts' ends
+    ends = found.where("node is not null").select(*ORDER)
+    again = walked(ends.repartition("tree", "label").sortWithinPartitions(*ORDER), False)
     return found.where("node is null").select("a", "b").union(again.select("a", "b")).where("a != b").distinct()
 
 
@@ -341,7 +371,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = rows.where("node is not null and doc_id is not null")
     least = [F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_class")]
     classes = staged(named.groupBy("node").agg(*least), "classes")
-    pairs = staged(candidates(forest(classes), Stars), "candidates")
+    pairs = staged(candidates(forest(classes)), "candidates")
     links = staged(confirmed(pairs, with_texts(docs, classes, pairs), size, percent), "links")
     label = staged(parts(links), "labels")
 
@@ -349,9 +379,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = classes.join(paired, "node").join(label.select("node", F.col("label").alias("component")), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    apart = staged(candidates(forest(named, list(COMPARED)), lambda: Blocks(percent)), "candidates")
-    more = staged(confirmed(apart, with_texts(docs, classes, apart), size, percent), "links")
+    apart = staged(meeting(staged(with_regions(named), "regions"), percent), "candidates")
+    texts = with_texts(docs, classes, apart)
+    best = [F.row_number().over(Window.partitionBy(k, part).orderBy("differing", other)) <= PARTNERS for k, other, part in (("a", "b", "part_b"), ("b", "a", "part_a"))]
+    ranked = staged(apart.withColumn("ahead", best[0] & best[1]).select("a", "b", "ahead"), "candidates")
+    more = confirmed(ranked.where("ahead").select("a", "b"), texts, size, percent)
     label = staged(components(links.union(more)), "labels")
+    # all others that can still change a component
+    left = ranked.where("not ahead").select("a", "b")
+    for k in "ab":
+        left = left.join(label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}")), k, "left")
+    left = staged(left.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "candidates")
+    if not left.isEmpty():
+        rest = confirmed(left, texts, size, percent)
+        label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "labels")
 
     known = classes.select("node", "low", "n_class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("low").alias("component_id"))

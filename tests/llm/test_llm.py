@@ -103,6 +103,28 @@ def test_near_dedup_group(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(k, v[1]) for k, v in components(texts, 4).items()}
 
 
+def test_near_dedup_whole(spark, monkeypatch):
+    """The one link of a text is at 0.8, and 40 others of that group lie just below; a region is cut into many blocks."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 4000)]
+    texts = []
+    for k in range(40):
+        member = [*base]
+        member[90 * k + 45] = f"c{k}"
+        texts.append((k, " ".join(member)))
+    for k in (7, 19, 31):
+        far = texts[k][1].split()
+        for j in range(111):
+            far[36 * j + 9] = f"x{k}-{j}"
+        texts.append((100 + k, " ".join(far)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {(k, v[1]) for k, v in components(texts, 4).items()}
+    assert {c for _, c in want} == {0}
+    for wide in (near_dedup.WIDE, 8):
+        monkeypatch.setattr(near_dedup, "WIDE", wide)
+        assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 4).collect()} == want, wide
+
+
 def test_tokens():
     encoder = tokens.Encoder(VOCABULARY)
     texts = [t or "" for _, t, *_ in ODD] + ["a  b", " \n x", "it's we'll <|endoftext|> \x1c\x1d", "x\ny z.\nw,"]
