@@ -2,9 +2,9 @@
 
 Markup is stripped into lines, one per block element; an element's weight is the length of its text outside links,
 and nothing where the markup says what it is: menus, headers, footers, sidebars, notices, adverts, forms, comments.
-Weights are summed over a sliding window of `WINDOW` lines. The text surges where the sum rises from nothing and
-dives where it falls back, and each stretch between is kept or left as a whole: where the page marks
-an article, its lines in every stretch; otherwise the heaviest stretch. Outside articles, lines of no weight are left out.
+Where the page marks an article, each of its lines is kept, links too. Elsewhere the text surges where the sum of weights
+over a sliding window of lines rises from nothing and dives where it falls back; every stretch between is kept, without
+its lines of no weight.
 
 Null and empty pages have an empty text. Rows are judged one by one; columns other than page_id, url, html play no part.
 """
@@ -18,8 +18,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW = 3
-
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -121,25 +119,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    inside = any(article and weight for _, weight, article in lines)
-    weights = [weight for _, weight, _ in lines]
-    sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights))]
-    stretches: list[tuple[int, list[str]]] = []
-    surged = False
-    for (text, weight, article), total in zip(lines, sums):
-        if total and not surged:
-            stretches.append((0, []))
-        surged = total > 0
-        if surged and text:
-            mass, kept = stretches[-1]
-            if article or weight and not inside:
-                kept.append(text)
-            stretches[-1] = (mass + weight, kept)
-    if not stretches:
-        return ""
-    if inside:
-        return "\n\n".join(text for _, kept in stretches for text in kept)
-    return "\n\n".join(max(stretches, key=lambda s: s[0])[1])
+    if any(article and weight for _, weight, article in lines):
+        return "\n\n".join(text for text, _, article in lines if article and text)
+    # the sum over a window is above zero at each line that has weight, so these are the lines of all stretches
+    return "\n\n".join(text for text, weight, _ in lines if weight)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -234,6 +234,14 @@ def test_html():
     assert html_extraction.main_text("<article><p>Short.<p>Next <b>bold</b><ul><li>i</ul></article><p>" + "outside " * 50) == "Short.\n\nNext bold\n\ni"
 
 
+def test_html_whole():
+    """Set-aside blocks and links cut nothing off: all stretches outside articles, all lines within."""
+    gap = '<div class="ad">x</div><div class="newsletter">y</div><div class="related">z</div>'
+    assert html_extraction.main_text(f"<p>First part.</p>{gap}<p>Second, longer part.</p>{gap}<p>End.</p>") == "First part.\n\nSecond, longer part.\n\nEnd."
+    links = "".join(f"<li><a href=x>link {k}</a></li>" for k in range(5))
+    assert html_extraction.main_text(f"<article><h1><a href=x>Title</a></h1><p>Text.</p><ul>{links}</ul></article><p>out</p>") == "\n\n".join(["Title", "Text.", *(f"link {k}" for k in range(5))])
+
+
 def test_sentence_pieces(spark, odd, none):
     import sentencepiece
 
