@@ -40,8 +40,9 @@ def path_rule(action: str, text: str) -> Rule:
     """`host/path`: fits the host and its subdomains where the URL's path starts with the rule's."""
     host, _, path = text.partition("/")
     pattern = rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}"
-    # the last token of a path can go on in the URL, unless a separator follows it
-    whole = [t for t in re.split(CUT, host) if t] + [t for t in re.split(CUT, re.sub(r"[a-zA-Z0-9]+$", "", path)) if t and t == t.lower()]
+    # the last token of a path can go on in the URL, unless a separator follows it; URLs are lower-cased before they are cut
+    lower = re.sub(r"[a-zA-Z0-9]+$", "", path).translate(str.maketrans(UPPER, LOWER))
+    whole = [t for t in re.split(CUT, host) if t] + [t for t in re.split(CUT, lower) if t]
     return Rule(action, pattern, tuple(whole), 1_000_000 + len(text), text)
 
 
@@ -51,7 +52,8 @@ PATTERNS = (
     Rule("block", r"^(?:[^/]*\.)?porn-[^./]*\.", ("porn",), 1, None),
     Rule("block", r"^(?:[^/]*\.)?casino-[^./]*\.", ("casino",), 1, None),
     Rule("block", r"^(?:[^/]*\.)?spam-[^./]*\.", ("spam",), 1, None),
-    Rule("block", r"^(?:[^/]*\.)?phish(?:ing)?-[^./]*\.", ("phish",), 1, None),
+    Rule("block", r"^(?:[^/]*\.)?phish-[^./]*\.", ("phish",), 1, None),
+    Rule("block", r"^(?:[^/]*\.)?phishing-[^./]*\.", ("phishing",), 1, None),
     Rule("block", r"^(?:[^/]*\.)?malware-[^./]*\.", ("malware",), 1, None),
 )
 

@@ -176,6 +176,20 @@ def test_url_filters(spark):
     assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", allow), 4: (none, allow), 5: ("com/fr/", allow), 6: ("com/de/", "block"), 7: (none, allow), 8: (none, allow), 9: (none, "block"), 10: ("org/", allow), 11: (none, allow), 12: (none, allow)}
 
 
+def test_url_filters_tokens(spark):
+    """Each rule is fetched by the tokens of the URLs that it matches."""
+    rules = [url_filters.path_rule("block", "x.org/Foo/bar"), *url_filters.PATTERNS]
+    urls = ["http://x.org/Foo/bar1", "http://x.org/foo/bar1"] + [f"http://a.{word}-bank.com/" for word in ("adult", "porn", "casino", "spam", "phish", "phishing", "malware")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {0: ("x.org/Foo/bar", "block"), 1: (None, "allow")} | {k: (None, "block") for k in range(2, len(urls))}
+    for rule in rules:
+        fit = [u for u in (url.split("://")[1] for url in urls) if re.search(rule.pattern, u)]
+        assert fit and all(set(rule.tokens) <= set(re.split(url_filters.CUT, u.lower())) for u in fit)
+    # whichever token of a rule is the rarest, so also one of its path
+    foo = [url_filters.path_rule("block", f"x.org/{p}") for p in ("Foo/bar", "a/b", "c/d")]
+    assert [r.verdict for r in url_filters.judge(spark.createDataFrame([(1, urls[0])], "page_id long, url string"), foo).collect()] == ["block"]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(1, 1500)] + [(1500, None), (1501, [None] * 8), (1502, [float("nan")] * 8), (1503, [0.5]), (50, [9.0] * 8), (None, [1.0] * 8), (4, [1e12] * 8)]
