@@ -2,6 +2,8 @@
 
 Markup is stripped into lines, one per block element; an element's weight is the length of its text outside links,
 and nothing where the markup says what it is: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+A class, id or role alone says nothing of an element that holds most of the text of the page's articles (of all its text,
+where it marks none), or an article's h1.
 Where the page marks an article, each of its lines is kept, links too. Elsewhere the text surges where the sum of weights
 over a sliding window of lines rises from nothing and dives where it falls back; every stretch between is kept, without
 its lines of no weight.
@@ -13,7 +15,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,52 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def set_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def held(page: str) -> tuple[int, int, dict[int, tuple[int, bool, int]]]:
+    """Lengths of a page's text outside links: within article or main, and of all; the same by the end of each start tag, with whether the element holds an h1 between."""
+    counts = [0, 0, 0]  # text in articles, h1 and text until here
+    linked, end = False, 0
+    stack: list[tuple[str, int, tuple[int, ...]]] = []
+    opened: Counter[str] = Counter()
+    found_in: dict[int, tuple[int, bool, int]] = {}
+
+    def read(text: str) -> None:
+        if not linked:
+            n = len(" ".join(text.split()))
+            counts[0] += n * (opened["article"] + opened["main"] > 0)
+            counts[2] += n
+
+    def close() -> str:
+        tag, at, before = stack.pop()
+        opened[tag] -= 1
+        inside, titles, text = (now - then for now, then in zip(counts, before))
+        found_in[at] = (inside, titles > 0, text)
+        return tag
+
+    for found in _TAG.finditer(page):
+        read(page[end : found.start()])
+        end = found.end()
+        tag = (found[3] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if tag in BLOCKS and stack and stack[-1][0] == "p" and not found[2]:
+            close()
+        if tag == "a":
+            linked = not found[2]
+        if found[2]:
+            while opened[tag] and close() != tag:
+                pass
+        else:
+            counts[1] += tag == "h1"
+            stack.append((tag, end, tuple(counts)))
+            opened[tag] += 1
+    read(page[end:])
+    while stack:
+        close()
+    return counts[0], counts[2], found_in
+
+
+def set_aside(tag: str, attributes: str, in_article: bool, main: Callable[[], bool]) -> bool:
+    """Whether an element is set aside; a word of its class, id or role alone doesn't do if it holds `main` content."""
     if tag in ASIDE or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and not _NAMED.search(attributes):
@@ -53,7 +101,7 @@ def set_aside(tag: str, attributes: str, in_article: bool) -> bool:
         if tag in ("html", "body", "main") or in_article and tag in ("h1", "h2", "header"):
             continue
         if parts & WORDS:
-            return True
+            return not main()
     return False
 
 
@@ -63,6 +111,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     pieces: list[str] = []
     linked = 0
     aside, depth, article, links = "", 0, 0, 0
+    whole: tuple[int, int, dict[int, tuple[int, bool, int]]] | None = None
+
+    def main() -> bool:
+        nonlocal whole
+        whole = whole or held(page)
+        marked, total, found_in = whole
+        inside, titles, text = found_in.get(end, (0, False, 0))
+        return article > 0 and titles or (2 * inside > marked if marked else 2 * text > total)
 
     def flush() -> None:
         nonlocal linked
@@ -105,7 +161,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         elif tag in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
-        if not closing and tag not in VOID and set_aside(tag, found[4] or "", article > 0):
+        if not closing and tag not in VOID and set_aside(tag, found[4] or "", article > 0, main):
             if tag in ("article", "main"):
                 article -= 1
             if not block:

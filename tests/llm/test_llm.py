@@ -256,6 +256,14 @@ def test_html_whole():
     assert html_extraction.main_text(f"<article><h1><a href=x>Title</a></h1><p>Text.</p><ul>{links}</ul></article><p>out</p>") == "\n\n".join(["Title", "Text.", *(f"link {k}" for k in range(5))])
 
 
+def test_html_wrappers():
+    """A class word sets no wrapper of the main text aside."""
+    assert html_extraction.main_text('<div class="content has-sidebar"><article><div class="article-header"><h1>T</h1></div><p>Text.</p><div class="share">s</div></article><div class="sidebar">x</div></div>') == "T\n\nText."
+    assert html_extraction.main_text('<div class="page with-banner"><p>Long text of the page.</p><div class="ad">Buy</div></div><p>End.</p>') == "Long text of the page.\n\nEnd."
+    assert html_extraction.main_text('<article><p>The whole article.</p></article><div class="related"><article><h1>Other</h1></article></div>') == "The whole article."
+    assert html_extraction.main_text('<p class="ad">Buy<p>Text that is here.') == "Text that is here."
+
+
 def test_sentence_pieces(spark, odd, none):
     import sentencepiece
 
