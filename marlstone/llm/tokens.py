@@ -4,6 +4,7 @@ A byte-level BPE tokenizer whose pre-tokenizer cuts text by the usual pattern ne
 either side of a single space or line end, nor a letter with a full stop behind it. So a text's ids are
 those of its words in a row, each with the space before it, and words are looked up in tables of the
 worker. Words that a table lacks are encoded by the library, many in one call with line ends between.
+Texts that hold the string of an added token go through the library whole, by its defaults.
 This holds for tokenizers of that kind only; others go through the library text by text.
 """
 
@@ -34,13 +35,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text
         with open(path) as file:
             read = json.load(file)
         pre = read.get("pre_tokenizer") or {}
         line_end = self.library.encode("\n", add_special_tokens=False).ids
         self.by_word = not read.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(line_end) == 1
         self.line_end = line_end[0]
+        self.added = [t["content"] for t in read.get("added_tokens") or [] if t["content"]]
         self.spaced: dict[str, bytes] = {}  # by the word behind a space
         self.bare: dict[str, bytes] = {}  # by the word or white space itself
 
@@ -79,7 +80,9 @@ class Encoder:
         bare: set[str] = set()
         behind, alone = self.spaced.get, self.bare.get
         for text in texts:
-            if plain(text):
+            if any(a in text for a in self.added):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif plain(text):
                 if "\n" in text:
                     # a line's first word has no space before it: its ids follow the line end's
                     first, *lines = text.split("\n")

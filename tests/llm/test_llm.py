@@ -131,6 +131,15 @@ def test_tokens():
     assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_added():
+    """Strings of added tokens give the library's ids by its defaults."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(VOCABULARY)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a\nb<|endoftext|>c\n", "plain text"]
+    assert tokens.Encoder(VOCABULARY).encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def encoded(text):
     return [*np.frombuffer(tokens.encoder(VOCABULARY).encode([text])[0], "<u4").tolist(), 0]
 
