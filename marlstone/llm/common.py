@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir` of the session, set here only where it is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir` of the session.
+
+    Unset, it is set here: to a temporary folder if the master is local, where driver and executors are one process,
+    and otherwise to a folder in the warehouse, which a cluster shares.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        if (spark.conf.get("spark.master", None) or "").startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         try:
             spark.conf.set("spark.checkpoint.dir", base)
         except Exception:  # a static setting in some versions: remembered on the context instead
@@ -31,6 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def shards(df: DataFrame, each: int = 256 << 20) -> int:
+    """Tasks for a shuffle of a frame's rows: the session's number, or more where the tables that it reads hold more than `each` bytes a task."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)  # above: Spark's mark of an unknown size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(known / each))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(run: Callable[[Batches], Batches], *clear: Callable[[], None]) -> Callable[[Batches], Batches]:
+    """`run` for mapInArrow, which calls `clear` when a task ends, and gives memory back to the system: workers live on between tasks."""
+
+    def go(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            for each in clear:
+                each()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return go
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back."""
     spark = df.sparkSession

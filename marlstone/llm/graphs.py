@@ -29,12 +29,6 @@ def _step(links: DataFrame) -> DataFrame:
     return moved.select("l.*").where("a != b").distinct()
 
 
-def parts(links: DataFrame) -> DataFrame:
-    """node, label after one step: nodes of one label are of one component, which may have several labels."""
-    now = _step(links.where("a != b"))
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(now.select(F.col("b"), F.col("b")).distinct()).groupBy("node").agg(F.min("label").alias("label"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, label for each node of links (a, b): label is the smallest node that can be reached. Nodes of one orderable type."""
     now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")

@@ -1,26 +1,26 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-1. A document's words (A-Z lower-cased) give its set of shingles and 128 MinHash values, kept as 16-bit hashes.
+1. A document's words (A-Z lower-cased) give its set of shingles and 256 MinHash values of 16 bits.
    Documents of equal word sequences are one class, named by the digest of its words.
-2. The forest has 32 trees: each tree puts all classes into regions, by four of those values of its own.
-3. A first walk pairs each class with its region's smallest one. The orders are range-partitioned, so a dense region
-   spreads over tasks, and are walked as sorted streams; the rows around the cuts between tasks are walked once more
-   together. These pairs are confirmed on the whole shingle sets of the texts and make parts of components.
-4. Then the classes that have any pair are compared, each with all classes of other parts in all its regions, however
-   large these are: regions of more than `WIDE` classes are cut into blocks by the classes' hashes, and every pair of
-   blocks that can hold different parts is one cell, dealt over the tasks. Pairs whose sizes and whose sketches
-   (two bits of each of 512 further MinHash values) allow the similarity are candidates, each of them made in the first
-   tree that its classes share, and nowhere else.
-5. Candidates that are among the `PARTNERS` best of both their classes are confirmed first; then all others that still
-   lie in different components. So a candidate is left out only where it could not change a component.
-
-A link of similarity 0.8 shares a region in one tree with probability 0.8^4; all of 32 trees miss it with
-(1 - 0.41)^32 = 5e-8. A sketch rejects it beyond six standard deviations, with about 1e-8.
+2. The forest has 32 sorted orders of all classes, each by eight values of its own. The orders are range-partitioned, so a
+   dense region spreads over tasks, and walked as sorted streams. Of the neighbours in all orders each class takes
+   the one with the longest common prefix. These pairs, one for each class at most, are confirmed on the whole shingle sets of
+   the texts and make parts of components.
+3. The depth then goes up region by region, but only where it must: a region is the classes of one order that share their
+   first `FIRST` values, and it is walked if it still holds classes of several parts. Regions of more than `WIDE` classes are
+   cut into blocks by the classes' hashes, and every pair of blocks that can hold different parts is one cell, dealt over
+   the tasks. In a cell the classes are found whose signatures allow the similarity with a class of another part, each pair in
+   the first order that its classes share. Cells that have such classes get these classes' whole sets, compare
+   them exactly and return links, no more of them than classes: those that join what the cell has not joined yet.
+
+A link of similarity 0.8 shares a region in one order with probability 0.8^4; all of 32 miss it with
+(1 - 0.41)^32 = 5e-8. Signatures reject it beyond six standard deviations. Nothing else is left out: no region, class or
+candidate is capped. The work of a region grows with its classes outside its largest part times all its classes.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows with a null
 doc_id get their own row, with component_id null and kept true, and link with nothing. Repeated rows, and
-rows of one doc_id, are all returned, with the same component; kept is decided by doc_id. Columns
-other than doc_id and text play no part.
+rows of one doc_id, are all returned, with the component of their own text; kept is decided by doc_id. Very long texts are
+read whole. An empty table gives no rows. Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -30,29 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
-from marlstone.llm.graphs import components, parts
+from marlstone.llm.common import releasing, shards, staged
+from marlstone.llm.graphs import components
 
-TREES, FIRST = 32, 4
-#: Bytes of a value in a signature, and of the hash that names a region where whole regions are compared.
+#: Sorted orders, the values of each, and the values that a region shares.
+TREES, DEPTH, FIRST = 32, 8, 4
+#: Bytes of a value in a signature, and of the hash that names a region.
 WIDTH, REGION = 2, 4
-#: Classes in a block of a region; candidates of a class in another part that are confirmed first.
-WIDE, PARTNERS = 1024, 4
-#: MinHash values in a sketch, of two bits each.
-SKETCH = 512
-#: Shingles that a task keeps of texts while it confirms pairs.
-HELD = 2_000_000
-#: Cells of up to so many rows are compared in plain Python, which is faster there.
-FEW = 12
+#: Classes, and shingles, in a block of a region.
+WIDE, HEAVY = 1024, 4_000_000
+#: Shingles that a task keeps of texts while it confirms pairs, and words whose hashes a worker remembers.
+HELD, REMEMBERED = 2_000_000, 100_000
 
 _U = np.uint64
-_ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * FIRST, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SKETCH_ODD = np.random.default_rng(20240301).integers(1, 2**32, SKETCH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_LOW_BITS = 0x5555555555555555
-_ALL_LOW_BITS = int.from_bytes(b"\x55" * (SKETCH // 4), "little")
+_ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,7 +58,7 @@ class Words(dict):
     """64-bit hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -73,6 +67,11 @@ class Words(dict):
 _words = Words()
 
 
+def forget() -> None:
+    """Empties the worker's table of words."""
+    _words.clear()
+
+
 def shingles(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a word sequence's shingles; the whole sequence is one if it is shorter."""
     if not words:
@@ -104,20 +103,14 @@ def minima(found: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """128 MinHash values of 16 bits."""
+    """256 MinHash values of 16 bits."""
     return (minima(found, _ODD) >> np.uint32(16)).astype(">u2")
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """512 MinHash values of two bits, packed."""
-    two = (minima(found, _SKETCH_ODD) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
-    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
-
-
-def most_differing(percent: int) -> int:
-    """Values of two sketches that differ at most if the sets are similar: six standard deviations above the mean."""
-    p = (1 - percent / 100) * 3 / 4
-    return int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5)
+def least_equal(percent: int) -> int:
+    """Low bytes of two signatures that are equal at least if the sets are similar: six standard deviations below the mean."""
+    n, p = TREES * DEPTH, percent / 100
+    return max(1, int(n * p - 6 * (n * p * (1 - p)) ** 0.5))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -128,31 +121,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, node (digest of the word sequence, null without words), n_shingles, values (the signature), sketch."""
+    """doc_id, h (hash of the text), node (digest of the word sequence, null without words), n_shingles, values (the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, counts, values, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found = shingles(words, size)
-                nodes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                counts.append(len(found))
-                values.append(signature(found).tobytes() if words else None)
-                sketches.append(sketch(found) if words else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "node", "n_shingles", "values", "sketch"],
-            )
-
-    return docs.selectExpr("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, values binary, sketch binary")
-
-
-#: Columns of a tree's rows in the first walk, and of a cell's rows and the candidates in the second.
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, len(whole), 1000)):
+                nodes, counts, values = [], [], []
+                for text in batch.column(1).to_pylist():
+                    words = words_of(text)
+                    found = shingles(words, size)
+                    nodes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                    counts.append(len(found))
+                    values.append(signature(found).tobytes() if words else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "h", "node", "n_shingles", "values"]
+                )
+
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    return hashed.mapInArrow(releasing(run, forget), "doc_id long, h long, node binary, n_shingles long, values binary")
+
+
+#: Columns of an order's rows, and what a cell is known by.
 ORDER = {"tree": pa.int32(), "label": pa.binary(), "node": pa.binary()}
 CELL = ["tree", "region", "i", "j"]
-COMPARED = ["block", "node", "component", "n_shingles", "sketch", "regions"]
-CANDIDATES = {"a": pa.binary(), "b": pa.binary(), "part_a": pa.binary(), "part_b": pa.binary(), "differing": pa.int32()}
 
 
 def schema(columns: dict[str, pa.DataType]) -> str:
@@ -160,13 +151,13 @@ def schema(columns: dict[str, pa.DataType]) -> str:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """A row for each tree and class (node, values): tree, label (the tree's four values), node."""
+    """A row for each order and class (node, values): tree, label (the order's eight values), node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                n, width = len(part), WIDTH * FIRST
+                n, width = len(part), WIDTH * DEPTH
                 raw = b"".join(part.column(1).to_pylist())
                 labels = pa.array([raw[width * k : width * (k + 1)] for k in range(n * TREES)], pa.binary())
                 each = pa.array(np.repeat(np.arange(n), TREES))
@@ -175,168 +166,214 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("node", "values").mapInArrow(run, schema(ORDER))
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Leading values that two labels share."""
+    if a == b:
+        return DEPTH
+    k = 0
+    while a[WIDTH * k : WIDTH * (k + 1)] == b[WIDTH * k : WIDTH * (k + 1)]:
+        k += 1
+    return k
+
+
+def neighbours(trees: DataFrame) -> DataFrame:
+    """Pairs (a < b), each once: every class with the neighbour in a sorted order that shares the longest prefix with it, `FIRST` values at least.
+
+    Among equal labels the first row is everyone's neighbour, so classes whose sets are equal in all values meet in few pairs.
+    Neighbours on either side of a cut between tasks are not seen here; the regions that they share are walked later.
+    """
+    made = {"node": pa.binary(), "depth": pa.int32(), "other": pa.binary()}
+
+    def table(best: dict[bytes, tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), pa.array([d for d, _ in best.values()], pa.int32()), pa.array([o for _, o in best.values()], pa.binary())], list(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[int, bytes]] = {}
+
+        def meet(depth: int, a: bytes, b: bytes) -> None:
+            for k, o in ((a, b), (b, a)):
+                if k not in best or (-depth, o) < (-best[k][0], best[k][1]):
+                    best[k] = (depth, o)
+
+        tree, label, node = None, b"", b""
+        for batch in batches:
+            for t, now, k in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if t == tree and now[: WIDTH * FIRST] == label[: WIDTH * FIRST]:
+                    depth = common_prefix(label, now)
+                    meet(depth, node, k)
+                    if depth == DEPTH:
+                        continue
+                tree, label, node = t, now, k
+            if len(best) > 20_000:
+                yield table(best)
+                best = {}
+        yield table(best)
+
+    n = shards(trees)
+    walked = trees.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, schema(made))
+    closest = walked.groupBy("node").agg(F.max(F.struct("depth", "other")).alias("c"))
+    return closest.select(F.least("node", "c.other").alias("a"), F.greatest("node", "c.other").alias("b")).distinct()
+
+
 def regions_of(values: bytes) -> bytes:
-    """32-bit hashes of each tree's four values. They define the regions of the second walk, so equal ones lose nothing."""
-    h = np.frombuffer(values, ">u8").astype(_U)
+    """32-bit hashes of the first four values of each order. They define the regions, so equal ones lose nothing."""
+    h = np.ascontiguousarray(np.frombuffer(values, ">u8").reshape(TREES, -1)[:, 0]).astype(_U)
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
     return (h >> _U(32)).astype("<u4").tobytes()
 
 
 def with_regions(classes: DataFrame) -> DataFrame:
-    """node, component, n_shingles, sketch, and regions in place of values."""
+    """node, component, n_shingles, regions, and low (the low bytes of the values) in place of values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions = pa.array([regions_of(v) for v in batch.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], regions], ["node", "component", "n_shingles", "sketch", "regions"])
-
-    return classes.select("node", "component", "n_shingles", "sketch", "values").mapInArrow(run, "node binary, component binary, n_shingles long, sketch binary, regions binary")
-
-
-def compared(tree: int, rows: list[tuple], most: int, percent: int) -> Iterator[tuple]:
-    """CANDIDATES among a cell's rows (COMPARED): between its two blocks, or within its one; those that share no earlier tree."""
-    if len(rows) <= FEW:
-        one = all(row[0] == rows[0][0] for row in rows)
-        bits = [int.from_bytes(row[4], "little") for row in rows]
-        for k, (block, node, part, n, _, regions) in enumerate(rows):
-            for j in range(k):
-                its, other, another, m, _, shared = rows[j]
-                if another != part and (one or its != block) and 100 * min(n, m) >= percent * max(n, m):
-                    apart = bits[k] ^ bits[j]
-                    differing = ((apart | apart >> 1) & _ALL_LOW_BITS).bit_count()
-                    if differing <= most and all(regions[at : at + REGION] != shared[at : at + REGION] for at in range(0, REGION * tree, REGION)):
-                        yield (node, other, part, another, differing) if node < other else (other, node, another, part, differing)
-        return
-    known: dict[bytes, int] = {}
-    parts_ = np.array([known.setdefault(row[2], len(known)) for row in rows])
-    counts = np.array([row[3] for row in rows])
-    bits = np.frombuffer(b"".join(row[4] for row in rows), "<u8").reshape(len(rows), -1)
-    regions = np.frombuffer(b"".join(row[5] for row in rows), "<u4").reshape(len(rows), TREES)
-    blocks = np.array([row[0] for row in rows])
-    lower, higher = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
-    within = blocks.min() == blocks.max()
-    step = max(1, 40_000 // len(higher))
-    n, m = counts[lower][:, None], counts[higher][None, :]
-    for at in range(0, len(lower), step):
-        some = slice(at, at + step)
-        fits = (parts_[lower[some]][:, None] != parts_[higher][None, :]) & (100 * np.minimum(n[some], m) >= percent * np.maximum(n[some], m))
-        if within:
-            fits &= lower[some][:, None] < higher[None, :]
-        x, y = np.nonzero(fits)
-        x, y = lower[at + x], higher[y]
-        for cut in range(0, len(x), 40_000):
-            p, q = x[cut : cut + 40_000], y[cut : cut + 40_000]
-            apart = bits[p] ^ bits[q]
-            apart |= apart >> _U(1)
-            apart &= _U(_LOW_BITS)
-            differing = np.bitwise_count(apart).sum(axis=1, dtype=np.int32)
-            close = differing <= most
-            p, q, differing = p[close], q[close], differing[close]
-            first = (regions[p] == regions[q]).argmax(axis=1) == tree
-            for k, j, d in zip(p[first].tolist(), q[first].tolist(), differing[first].tolist()):
-                a, b = (k, j) if rows[k][1] < rows[j][1] else (j, k)
-                yield rows[a][1], rows[b][1], rows[a][2], rows[b][2], d
+            values = batch.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([regions_of(v) for v in values], pa.binary()), pa.array([v[1::2] for v in values], pa.binary())], ["node", "component", "n_shingles", "regions", "low"]
+            )
+
+    return classes.select("node", "component", "n_shingles", "values").mapInArrow(run, "node binary, component binary, n_shingles long, regions binary, low binary")
 
 
 def cells(classes: DataFrame) -> DataFrame:
-    """CELL and COMPARED: the rows of every region where parts meet, in each of the cells that their blocks have with others.
+    """CELL, block and node: the rows of every region where parts meet, in each of the cells that their blocks have with others.
 
     A region's largest part needs no comparison within itself, so its blocks meet the others' only.
     """
-    light = classes.select("node", "component", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(regions, {REGION} * t + 1, {REGION}))")).alias("tree", "region"))
-    held = light.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    each = f"transform(sequence(0, {TREES - 1}), t -> substring(regions, {REGION} * t + 1, {REGION}))"
+    light = classes.select("node", "component", "n_shingles", F.posexplode(F.expr(each)).alias("tree", "region"))
+    held = light.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    held = held.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    whole = f"n <= {WIDE} and s <= {HEAVY}"
     held = held.select(
         "tree",
         "region",
         F.col("most.component").alias("main"),
-        F.expr(f"if(n <= {WIDE}, 0, ceil(most.n / {WIDE}))").cast("int").alias("mains"),
-        F.expr(f"if(n <= {WIDE}, 1, ceil((n - most.n) / {WIDE}))").cast("int").alias("others"),
+        F.expr(f"if({whole}, 0, greatest(ceil(most.n / {WIDE}), ceil(most.s / {HEAVY})))").cast("int").alias("mains"),
+        F.expr(f"if({whole}, 1, greatest(ceil((n - most.n) / {WIDE}), ceil((s - most.s) / {HEAVY})))").cast("int").alias("others"),
     )
     met = light.join(held, ["tree", "region"]).withColumn("in_main", F.expr("mains > 0 and component = main"))
     met = met.withColumn("block", F.expr("cast(if(in_main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) as int)"))
-    met = met.select("node", "tree", "region", "block", F.expr("if(in_main, mains, 0)").alias("low"), F.expr("mains + others - 1").alias("high"))
-    whole = met.join(classes, "node").withColumn("other", F.explode(F.sequence("low", "high")))
-    return whole.select("tree", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *COMPARED)
+    met = met.select("node", "tree", "region", "block", F.expr("if(in_main, mains, 0)").alias("first"), F.expr("mains + others - 1").alias("last"))
+    whole = met.withColumn("other", F.explode(F.sequence("first", "last")))
+    return whole.select("node", "tree", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
 
-def meeting(classes: DataFrame, percent: int) -> DataFrame:
-    """CANDIDATES between parts, each pair (a < b) once."""
-    n, most = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), most_differing(percent)
+def allowed(tree: int, rows: list[tuple], least: int, percent: int) -> np.ndarray:
+    """Which rows (block, node, component, n_shingles, regions, low) of a cell may have a link with one of another part and block, in this order first."""
+    n = len(rows)
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(row[2], len(known)) for row in rows])
+    counts = np.array([row[3] for row in rows])
+    blocks = np.array([row[0] for row in rows])
+    regions = np.frombuffer(b"".join(row[4] for row in rows), "<u4").reshape(n, TREES)
+    low = np.frombuffer(b"".join(row[5] for row in rows), np.uint8).reshape(n, -1)
+    lower, higher = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    within = blocks.min() == blocks.max()
+    found = np.zeros(n, bool)
+    step = max(1, 40_000 // len(higher))
+    for at in range(0, len(lower), step):
+        x = lower[at : at + step]
+        fits = (of[x][:, None] != of[higher][None, :]) & (100 * np.minimum(counts[x][:, None], counts[higher][None, :]) >= percent * np.maximum(counts[x][:, None], counts[higher][None, :]))
+        if within:
+            fits &= x[:, None] < higher[None, :]
+        p, q = np.nonzero(fits)
+        p, q = x[p], higher[q]
+        for cut in range(0, len(p), 20_000):
+            a, b = p[cut : cut + 20_000], q[cut : cut + 20_000]
+            near = (regions[a] == regions[b]).argmax(axis=1) == tree
+            a, b = a[near], b[near]
+            close = np.count_nonzero(low[a] == low[b], axis=1) >= least
+            found[a[close]] = found[b[close]] = True
+    return found
+
+
+def walked_cells(rows: DataFrame, extra: list[str], body, made: str, clear=()) -> DataFrame:
+    """`body` on the rows (block, node, component, n_shingles, `extra`) of each cell, which a task holds one at a time; it yields tuples of `made`."""
+    names = [c.split()[0] for c in made.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.binary() for c in made.split(", ")]
+    columns = [*CELL, "block", "node", "component", "n_shingles", *extra]
 
     def table(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*found)) or [()] * len(CANDIDATES), CANDIDATES.values())], list(CANDIDATES))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*found)) or [()] * len(names), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, found = None, [], []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(CELL) + len(COMPARED)))):
-                if row[: len(CELL)] != now:
-                    if now:
-                        found += compared(now[0], rows, most, percent)
-                    now, rows = row[: len(CELL)], []
-                    if len(found) > 20_000:
-                        yield table(found)
-                        found = []
-                rows.append(row[len(CELL) :])
+        now, held, found = None, [], []
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, len(whole), 500)):
+                for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
+                    if row[: len(CELL)] != now:
+                        if now:
+                            found += body(now, held)
+                        now, held = row[: len(CELL)], []
+                        if len(found) > 20_000:
+                            yield table(found)
+                            found = []
+                    held.append(row[len(CELL) :])
         if now:
-            found += compared(now[0], rows, most, percent)
+            found += body(now, held)
         yield table(found)
 
-    dealt = cells(classes).repartition(n, *CELL).sortWithinPartitions(*CELL)
-    return dealt.select(*CELL, *COMPARED).mapInArrow(run, schema(CANDIDATES))
-
-
-class Stars:
-    """A sorted stream of regions: each class with its region's first."""
+    dealt = rows.select(*columns).repartition(shards(rows), *CELL).sortWithinPartitions(*CELL, "block", "node")
+    return dealt.mapInArrow(releasing(run, *clear), made)
 
-    def __init__(self) -> None:
-        self.region, self.first = None, None
 
-    def row(self, region: tuple[int, bytes], row: tuple) -> Iterator[tuple[bytes, bytes]]:
-        if region == self.region:
-            yield self.first, row[2]
-        else:
-            self.region, self.first = region, row[2]
+def joined_in(rows: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links among a cell's rows (block, node, component, n_shingles, shingles): exact, between parts, and none between classes that the cell has joined.
 
+    The sets are laid end to end as places in the cell's shingles; for one class, the sums of its marks at the
+    others' places are all its intersections.
+    """
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(row[2], len(known)) for row in rows])
+    counts = np.array([row[3] for row in rows])
+    blocks = np.array([row[0] for row in rows])
+    within = blocks.min() == blocks.max()
+    names, places = np.unique(np.frombuffer(b"".join(row[4] for row in rows), "<u8"), return_inverse=True)
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    marks = np.zeros(len(names), np.int32)
+    # parts of each class, merged as links are found: equal labels are joined already
+    label = of.copy()
+    least = np.flatnonzero(blocks == (blocks.max() if within or (blocks == blocks.max()).sum() <= (blocks == blocks.min()).sum() else blocks.min()))
+    for x in least.tolist():
+        fits = (label != label[x]) & (100 * np.minimum(counts, counts[x]) >= percent * np.maximum(counts, counts[x]))
+        if not within:
+            fits &= blocks != blocks[x]
+        if not fits.any():
+            continue
+        own = places[starts[x] : starts[x] + counts[x]]
+        marks[own] = 1
+        both = np.add.reduceat(marks[places], starts)
+        marks[own] = 0
+        for y in np.flatnonzero(fits & (100 * both >= percent * (counts + counts[x] - both))).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                a, b = rows[x][1], rows[y][1]
+                yield (a, b) if a < b else (b, a)
+
+
+def meeting(classes: DataFrame, docs: DataFrame, every: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a < b) between the parts of `classes` (with_regions): exact ones, enough to join what is similar."""
+    least = least_equal(percent)
+    met = cells(classes).join(classes.select("node", "component", "n_shingles", "regions", "low"), "node")
+
+    def seen(cell: tuple, rows: list[tuple]) -> list[tuple]:
+        found = allowed(cell[0], rows, least, percent)
+        return [(*cell, row[0], row[1]) for row, yes in zip(rows, found.tolist()) if yes]
+
+    worth = staged(walked_cells(met, ["regions", "low"], seen, "tree int, region binary, i int, j int, block int, node binary"), "worth")
+    texts = with_texts(docs, every, worth.select("node").distinct())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 200) for at in range(0, len(whole), 200)):
+                sets = [shingles(words_of(t), size).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
 
-def walked(ordered: DataFrame, edges: bool) -> DataFrame:
-    """Pairs of a frame whose partitions are sorted ranges; with `edges`, also the rows at their ends, for another walk."""
-    made = {"a": pa.binary(), "b": pa.binary()} | ORDER
-
-    def table(pairs: dict[tuple, None], ends: list[tuple]) -> pa.RecordBatch:
-        rows = [(*pair, *[None] * len(ORDER)) for pair in pairs] + [(None, None, *end) for end in ends]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * len(made), made.values())], list(made))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, pairs = Stars(), {}
-        head: tuple | None = None
-        tail: tuple | None = None
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(ORDER)))):
-                region = row[:2]
-                if edges and region != walk.region:
-                    head, tail = head or row, row  # the first row of the task, and of its last region
-                pairs.update(dict.fromkeys((min(p), max(p)) for p in walk.row(region, row)))
-            if len(pairs) > 20_000:
-                yield table(pairs, [])
-                pairs = {}
-        yield table(pairs, list(dict.fromkeys(end for end in (head, tail) if end)))
-
-    return ordered.select(*ORDER).mapInArrow(run, schema(made))
-
-
-def candidates(trees: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of the first walk."""
-    n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # within a region by the node alone: the smallest one is first, most often the same in many trees, so few pairs differ;
-    # with the node in the order, equal labels can lie on both sides of a cut
-    found = staged(walked(trees.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER), True), "pairs")
-    # at most two rows of each task: a region that a cut goes through is walked again from its parts' ends
-    ends = found.where("node is not null").select(*ORDER)
-    again = walked(ends.repartition("tree", "label").sortWithinPartitions(*ORDER), False)
-    return found.where("node is null").select("a", "b").union(again.select("a", "b")).where("a != b").distinct()
+    sets = texts.select("node", "text").mapInArrow(releasing(cut, forget), "node binary, shingles binary")
+    whole = worth.join(sets, "node").join(classes.select("node", "component", "n_shingles"), "node")
+    return walked_cells(whole, ["shingles"], lambda cell, rows: list(joined_in(rows, percent)), "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -362,62 +399,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     left = pairs.join(named.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("n_shingles").alias("n_b")), "b")
     both = left.join(named.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("n_shingles").alias("n_a")), "a")
     close = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return close.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return close.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run, forget), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept, and n_class, the rows of equal words."""
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept, n_class (rows of equal words) and h (hash of the text)."""
     rows = staged(sized(docs, size), "sized")
     named = rows.where("node is not null and doc_id is not null")
-    least = [F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_class")]
-    classes = staged(named.groupBy("node").agg(*least), "classes")
-    pairs = staged(candidates(forest(classes)), "candidates")
-    links = staged(confirmed(pairs, with_texts(docs, classes, pairs), size, percent), "links")
-    label = staged(parts(links), "labels")
-
-    # every class that shares a region with another has a pair with some region's first
+    least = [F.min(F.struct("doc_id", "h")).alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("values").alias("values"), F.count(F.lit(1)).alias("n_class")]
+    classes = staged(named.groupBy("node").agg(*least).select("node", "low.doc_id", "low.h", "n_shingles", "values", "n_class"), "classes")
+    pairs = staged(neighbours(forest(classes)), "neighbours")
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = classes.join(paired, "node").join(label.select("node", F.col("label").alias("component")), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    apart = staged(meeting(staged(with_regions(named), "regions"), percent), "candidates")
-    texts = with_texts(docs, classes, apart)
-    best = [F.row_number().over(Window.partitionBy(k, part).orderBy("differing", other)) <= PARTNERS for k, other, part in (("a", "b", "part_b"), ("b", "a", "part_a"))]
-    ranked = staged(apart.withColumn("ahead", best[0] & best[1]).select("a", "b", "ahead"), "candidates")
-    more = confirmed(ranked.where("ahead").select("a", "b"), texts, size, percent)
-    label = staged(components(links.union(more)), "labels")
-    # all others that can still change a component
-    left = ranked.where("not ahead").select("a", "b")
-    for k in "ab":
-        left = left.join(label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}")), k, "left")
-    left = staged(left.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "candidates")
-    if not left.isEmpty():
-        rest = confirmed(left, texts, size, percent)
-        label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "labels")
-
-    known = classes.select("node", "low", "n_class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.groupBy("label").agg(F.min("low").alias("component_id"))
+    links = staged(confirmed(pairs, with_texts(docs, classes, paired), size, percent), "links")
+    label = staged(components(links), "labels")
+
+    apart = classes.join(label.select("node", F.col("label").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = staged(meeting(staged(with_regions(apart), "regions"), docs, classes, size, percent), "links")
+    if not more.isEmpty():
+        label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
+
+    known = classes.select("node", F.col("doc_id").alias("least"), "n_class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     of = known.join(least, "label").select("node", "component_id", "n_class")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return (
-        rows.drop("values", "sketch")
+        rows.drop("values")
         .join(of, "node", "left")
-        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_class", F.lit(0).cast("long")).alias("n_class"))
+        .withColumn("component_id", component)
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_class", F.lit(0).cast("long")).alias("n_class"), "h")
     )
 
 
-def with_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text, n_shingles of each class in a pair: the text of its smallest doc_id, by the digest too, as rows of one doc_id may differ."""
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.join(paired, "node").select(F.col("low").alias("doc_id"), "node", "n_shingles")
-    return staged(of_node(docs.selectExpr("doc_id", "text").join(wanted, "doc_id")), "texts")
-
-
-def of_node(rows: DataFrame) -> DataFrame:
-    """node, text, n_shingles: a row for each node, of the rows whose text has the node's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return rows.select("node", "text", "n_shingles").mapInArrow(run, "node binary, text string, n_shingles long")
+def with_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text, n_shingles of each class in `nodes`: the text of its smallest doc_id, by its hash too, as rows of one doc_id may differ."""
+    wanted = classes.join(nodes, "node").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "node", "n_shingles")
+    found = docs.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")))
+    return staged(found.groupBy("node").agg(F.first("text").alias("text"), F.first("n_shingles").alias("n_shingles")), "texts")

@@ -125,6 +125,38 @@ def test_near_dedup_whole(spark, monkeypatch):
         assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 4).collect()} == want, wide
 
 
+def test_near_dedup_dense(spark):
+    """One region of 5,000 different texts, many pairs just below and above 0.8: equal to brute force, with no link between texts lost."""
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for k in range(5000):
+        member = [*base]
+        for at in rng.choice(70, rng.integers(1, 4), replace=False).tolist():
+            member[at] = f"c{rng.integers(0, 60)}"
+        texts.append((k, " ".join(member)))
+    at = defaultdict(list)
+    sizes = np.zeros(len(texts), int)
+    for k, text in texts:
+        w = text.split()
+        for shingle in {tuple(w[i : i + 4]) for i in range(len(w) - 3)}:
+            at[shingle].append(k)
+            sizes[k] += 1
+    both = np.zeros((len(texts), len(texts)), np.int16)
+    for rows in at.values():
+        both[np.ix_(rows, rows)] += 1
+    linked = 100 * both.astype(int) >= 80 * (sizes[:, None] + sizes[None, :] - both)
+    component = np.arange(len(texts))
+    while True:
+        lower = np.array([component[row].min() for row in linked])
+        if (lower == component).all():
+            break
+        component = lower
+    assert 1 < len(set(component.tolist())) < 4900
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(component.tolist()))
+
+
 def test_tokens():
     encoder = tokens.Encoder(VOCABULARY)
     texts = [t or "" for _, t, *_ in ODD] + ["a  b", " \n x", "it's we'll <|endoftext|> \x1c\x1d", "x\ny z.\nw,"]
