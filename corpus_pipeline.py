@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents, n_chars counting the code points of the text as it
-then is. Documents of which a stage leaves nothing go; ones that were empty before stay as they are.
+then is. Documents of which a stage leaves nothing go; ones that were empty before stay as they are. Null ids stay null
+and are never anyone's copy; an empty table gives an empty table; further columns of documents are left behind.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: shingles of five words, similarity of 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*DOCUMENT_COLUMNS)
+    """One document of each component of near-duplicates: shingles of five words, similarity of 0.8 or more. Rows go by doc_id and text."""
+    found = near_dedup.near_duplicates(docs, size=5, percent=80)
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
+    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_h"))
+    return docs.join(gone, same, "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
