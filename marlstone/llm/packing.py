@@ -1,15 +1,19 @@
 """Harmonic packing of token sequences.
 
-A document's ids, with an end id behind them, are cut into pieces whose lengths are the capacity over a
-power of two: as many full ones as there are, then the binary digits of the rest. Lengths so fall into
-reciprocal-capacity classes, 1024, 512, 256 ... 1, and the class of length capacity/n has bins of exactly
-n pieces. Every worker fills its own bins, class by class, without a word to the others; a bin that is
-full has no gap. What a worker has left in a class at its end, c < n pieces, makes sequences of the binary
-digits of c, so each has a power of two of ids and needs no padding either.
+A document's ids, with an end id behind them, give as many full sequences as they hold. What remains, r ids, is of the
+reciprocal-capacity class k where capacity/(k+1) < r <= capacity/k, and a bin of class k takes exactly k such remainders,
+whole. A bin that has its k may have a gap; the worker's next document is cut to fill it, from its start, before
+the rest of it is classified. So documents are cut at the capacity and for gaps only, at most one bin waits at any time,
+and every worker packs alone.
+
+At its end a worker has one open bin for each class at most. What these hold, and a bin that waits, is laid end to end:
+full sequences again, and at last fewer ids, which are cut into their binary digits. So each sequence is full or a power
+of two, and none is padded.
 
 Sequence ids are the partition's number in the high bits and the worker's own count in the low 40, so they
 are unique and come out the same when a lost task runs again. Null texts count as empty: one piece, the
-end id. Rows are packed one by one; repeated rows are packed repeatedly. Other columns play no part.
+end id. Rows are packed one by one; repeated rows are packed repeatedly, null ids as any other. Texts of any length are
+encoded whole. An empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,46 +27,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marlstone.llm import tokens
+from marlstone.llm.common import releasing
 
-SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
-        T.StructField("doc_tokens", T.LongType()),
-        T.StructField("sequence_id", T.LongType()),
-        T.StructField("offset", T.LongType()),
-    ]
-)
+SCHEMA = T.StructType([T.StructField(name, T.LongType()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of n ids: full ones, then the binary digits of the rest from the largest."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+class Piece:
+    """Ids of one document from `start` on, little-endian unsigned 32-bit."""
 
+    __slots__ = ("doc_id", "ids", "start", "length", "total")
 
-class Bins:
-    """One worker's open bins: a class for each length, a bin of each class holding capacity/length pieces."""
+    def __init__(self, doc_id: int | None, ids: bytes, start: int, length: int, total: int):
+        self.doc_id, self.ids, self.start, self.length, self.total = doc_id, ids, start, length, total
 
-    def __init__(self, capacity: int, base: int):
-        self.capacity, self.next, self.open = capacity, base, {}
+    def cut(self, n: int) -> Piece:
+        """The first n ids, which leave this piece."""
+        head = Piece(self.doc_id, self.ids[: 4 * n], self.start, n, self.total)
+        self.ids, self.start, self.length = self.ids[4 * n :], self.start + n, self.length - n
+        return head
 
-    def put(self, length: int, row: list) -> list[list]:
-        """Rows that are settled by this piece: those of its bin, once that is full."""
-        kept = self.open.setdefault(length, [])
-        kept.append(row)
-        return self.close(length) if len(kept) * length == self.capacity else []
 
-    def close(self, length: int) -> list[list]:
-        kept = self.open.pop(length, [])
-        done: list[list] = []
-        for n in cut(len(kept), self.capacity // length):
-            for at in range(n):
-                done.append([*kept[len(done)], self.next, at * length])
-            self.next += 1
-        return done
+class Packer:
+    """One worker's bins: rows of SCHEMA come out as sequences are settled."""
+
+    def __init__(self, capacity: int, base: int):
+        self.capacity, self.next = capacity, base
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: list[Piece] = []  # a bin that has its count and waits for its gap to be filled
+        self.gap = 0
+
+    def _settle(self, pieces: list[Piece]) -> list[tuple]:
+        rows, at = [], 0
+        for p in pieces:
+            rows.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.total, self.next, at))
+            at += p.length
+        self.next += 1
+        return rows
+
+    def put(self, doc_id: int | None, ids: bytes) -> list[tuple]:
+        """Takes a document; the rows that it settles."""
+        rows: list[tuple] = []
+        piece = Piece(doc_id, ids, 0, len(ids) // 4, len(ids) // 4)
+        if self.waiting:
+            self.waiting.append(piece.cut(min(piece.length, self.gap)))
+            self.gap -= self.waiting[-1].length
+            if not self.gap:
+                rows += self._settle(self.waiting)
+                self.waiting = []
+        while piece.length >= self.capacity:
+            rows += self._settle([piece.cut(self.capacity)])
+        if piece.length:
+            k = self.capacity // piece.length
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) == k:  # nothing waits here: this document had ids left behind the gap
+                del self.open[k]
+                self.gap = self.capacity - sum(p.length for p in held)
+                if self.gap:
+                    self.waiting = held
+                else:
+                    rows += self._settle(held)
+        return rows
+
+    def close(self) -> list[tuple]:
+        """The rows of all that is open, laid end to end."""
+        left = [*self.waiting, *(p for k in sorted(self.open) for p in self.open[k])]
+        self.waiting, self.open = [], {}
+        total, rows = sum(p.length for p in left), []
+        rest = total % self.capacity
+        for n in [self.capacity] * (total // self.capacity) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]:
+            sequence: list[Piece] = []
+            while n:
+                sequence.append(left[0].cut(min(n, left[0].length)))
+                n -= sequence[-1].length
+                if not left[0].length:
+                    left.pop(0)
+            rows += self._settle(sequence)
+        return rows
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
@@ -71,27 +112,21 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         raise ValueError("capacity must be a power of two")
     end = end_id.to_bytes(4, "little")
 
-    def table(rows: list[list]) -> pa.RecordBatch:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * len(SCHEMA)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SCHEMA.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
-        bins = Bins(capacity, TaskContext.get().partitionId() << 40)
-        done: list[list] = []
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids += end
-                total, start = len(ids) // 4, 0
-                for length in cut(total, capacity):
-                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                    done += bins.put(length, [doc_id, start, length, crc, total])
-                    start += length
-            if len(done) >= 20_000:
-                yield table(done)
-                done = []
-        for length in sorted(bins.open, reverse=True):
-            done += bins.close(length)
-        yield table(done)
-
-    return docs.selectExpr("doc_id", "text").mapInArrow(run, SCHEMA)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
+        done: list[tuple] = []
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, len(whole), 1000)):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    done += packer.put(doc_id, ids + end)
+                if len(done) >= 20_000:
+                    yield table(done)
+                    done = []
+        yield table(done + packer.close())
+
+    return docs.selectExpr("doc_id", "text").mapInArrow(releasing(run, tokens.forget), SCHEMA)
