@@ -8,7 +8,10 @@ order, and a shard's base, the number of ids before it, is a prefix sum over the
 
 Each shard is written by one task under a name of its own and moved into place, so a task that runs again
 writes the same bytes. The folder must be in the shared folder of the cluster and reachable as a file path.
-Null texts count as empty and null ids come first. Equal ids are ordered by text; rows are never merged.
+Null texts count as empty and null ids come first. Rows of one id are ordered by the first characters of their texts, and
+then by their place in the table, and may lie in several shards, so an id of very many rows is split; rows are never merged.
+Texts of any length are encoded whole, an empty table writes no ids and gives no rows, and columns other than doc_id and
+text play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
-from marlstone.llm.common import shared_dir
+from marlstone.llm.common import releasing, shards, shared_dir
 
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, n_docs long, n_ids long"
@@ -50,7 +53,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width:
         path, own = f"{folder}/part-{shard:06d}", uuid.uuid4().hex
         offsets, ids, at = [0], [], 0
         with open(f"{path}.{own}.ids", "wb") as out:
-            for batch in batches:
+            for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
                 for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     values = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                     if width == 2 and values.max() > 0xFFFF:
@@ -66,9 +69,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width:
             os.replace(f"{path}.{own}.{end}", f"{path}.{end}")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([at], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    return ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, SHARDS)
+    # samples of the range's keys reach the driver, so the key holds a text's beginning only
+    keys = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first(), F.col("place").asc()]
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(shards(docs), *keys)
+    return placed.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(releasing(run, tokens.forget), SHARDS)
 
 
 def read(spark: SparkSession, shards: list[tuple[int, str, int, int]], width: int = 2) -> DataFrame:

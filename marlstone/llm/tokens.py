@@ -17,8 +17,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Most words that a worker remembers; then it starts anew. Only speed depends on it.
-REMEMBERED = 1_200_000
+#: Bytes of words in a generation of a worker's tables, about. A worker keeps two: words that the older one alone holds
+#: go when the younger one is full. Only speed depends on it.
+REMEMBERED = 64 << 20
+#: Bytes that an entry of a table takes besides its word and ids.
+ENTRY = 180
 
 # the library's white space is Unicode's, which lacks four control characters that Python counts
 _PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
@@ -44,6 +47,17 @@ class Encoder:
         self.added = [t["content"] for t in read.get("added_tokens") or [] if t["content"]]
         self.spaced: dict[str, bytes] = {}  # by the word behind a space
         self.bare: dict[str, bytes] = {}  # by the word or white space itself
+        self.held = 0  # bytes of both tables, about
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def forget(self) -> None:
+        self.turn()
+        self.older = ({}, {})
+
+    def turn(self) -> None:
+        """Begins a new generation."""
+        self.older = (self.spaced, self.bare)
+        self.spaced, self.bare, self.held = {}, {}, 0
 
     def _many(self, words: list[str], lead: str) -> list[bytes]:
         """The ids of `lead` and each word, none of which holds white space."""
@@ -56,11 +70,16 @@ class Encoder:
             found += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)])]
         return found
 
-    def _learn(self, new: set[str], table: dict[str, bytes], lead: str) -> None:
+    def _learn(self, new: set[str], table: dict[str, bytes], older: dict[str, bytes], lead: str) -> None:
+        again = {w: older[w] for w in new if w in older}
+        table.update(again)
+        self.held += ENTRY * len(again)
         new = {w for w in new if w not in table}
         stopped = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
         need = [w for w in new.difference(stopped).union(w[:-1] for w in stopped) if w not in table]
-        table.update(zip(need, self._many(need, lead)))
+        found = self._many(need, lead)
+        table.update(zip(need, found))
+        self.held += ENTRY * (len(new) + len(need)) + sum(map(len, need)) + sum(map(len, found))
         if stopped:
             stops = dict(zip(",.", self._many([",", "."], "")))
             table.update([(w, table[w[:-1]] + stops[w[-1]]) for w in stopped])
@@ -70,9 +89,8 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.spaced.clear()
-            self.bare.clear()
+        if self.held > REMEMBERED:
+            self.turn()
         line_end = self.line_end.to_bytes(4, "little")
         out: list[bytes] = []
         later: list[tuple[int, list[str], list[str]]] = []  # texts with words that are new
@@ -114,10 +132,11 @@ class Encoder:
                         bare.add(p)
                     elif p not in self.bare:
                         self.bare[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                        self.held += ENTRY + 5 * len(p)
                 later.append((len(out), pieces, None, None))
                 out.append(b"")
-        self._learn(spaced, self.spaced, " ")
-        self._learn(bare, self.bare, "")
+        self._learn(spaced, self.spaced, self.older[0], " ")
+        self._learn(bare, self.bare, self.older[1], "")
         behind, alone = self.spaced.__getitem__, self.bare.__getitem__
         for at, words, heads, marks in later:
             if heads is None:
@@ -143,3 +162,9 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Empties the tables of the worker's encoders."""
+    for held in _encoders.values():
+        held.forget()
