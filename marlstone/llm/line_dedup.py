@@ -12,8 +12,8 @@ third of the documents share meets as one row per task; joins on a chunk's hash
 that adaptive execution splits where one hash is hot.
 
 Null texts count as empty and are never changed except that null becomes empty. Rows equal in doc_id
-and text count as one document and get equal results; null ids come first. Columns other than doc_id
-and text play no part; `carry` names some to pass through.
+and text count as one document and get equal results; null ids come first. Texts are read whole, however long; an
+empty table gives no rows. Columns other than doc_id and text play no part; `carry` names some to pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ DIVISOR = 3
 def chunked(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, h (hash of the text), n_lines and chunks: array<struct<n int, t string>> in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    passed = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry]).alias("passed")
+    passed = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]).alias("passed")
     lines = docs.select("doc_id", passed, F.xxhash64(text).alias("h"), F.split(text, "\n").alias("ls"))
     hashed = lines.select("*", F.expr("transform(ls, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))").alias("hs"))
     marks = hashed.select("doc_id", "passed", "h", "ls", F.expr(f"transform(hs, (x, i) -> (coalesce(get(hs, i - 1), 0L) * 31 + x) % {DIVISOR} = 0)").alias("ms"))
@@ -89,5 +89,5 @@ def dedup_lines(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         "n_chunks",
         F.expr("n_lines - aggregate(kept, 0, (a, c) -> a + c.n)").alias("n_removed_lines"),
         F.expr("array_join(transform(kept, c -> c.t), '\n')").alias("text"),
-        *[F.col("passed").getField(c).alias(c) for c in carry],
+        *[F.col("passed").getField(f"c{k}").alias(c) for k, c in enumerate(carry)],
     )

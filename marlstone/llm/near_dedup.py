@@ -43,7 +43,7 @@ WIDTH, REGION = 2, 4
 #: Classes, and shingles, in a block of a region.
 WIDE, HEAVY = 1024, 4_000_000
 #: Shingles that a task keeps of texts while it confirms pairs, and words whose hashes a worker remembers.
-HELD, REMEMBERED = 2_000_000, 100_000
+HELD, REMEMBERED = 2_000_000, 200_000
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)

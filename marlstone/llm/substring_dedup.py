@@ -5,8 +5,9 @@ A window is `size` consecutive words of one document. Its minimiser is the small
 windows have equal minimisers, and windows of one super-k-mer are never equal, so a window that
 stands twice in the corpus lies in two super-k-mers of the same minimiser value.
 
-1. Every document's super-k-mers are counted by minimiser; of those whose minimiser is shared the
-   places go back to their documents.
+1. Every document's super-k-mers are listed and counted by minimiser; of those whose minimiser is shared the
+   places go back to their documents. A minimiser's count is a pre-aggregated row of a table of its own, so the join of a hot
+   minimiser's places with it is one that adaptive execution splits.
 2. There each becomes a packed string of its words. Equal strings are pre-aggregated, so copies of a passage or of
    whole documents travel once a task, and go to their minimiser's bucket.
 3. In a bucket the windows of all strings are sorted and equal neighbours counted, the strings' own counts as
@@ -16,8 +17,9 @@ stands twice in the corpus lies in two super-k-mers of the same minimiser value.
 
 All comparisons of windows are of the words' bytes. Joins on hot minimisers or strings are equi-joins, which adaptive
 execution splits. Null texts have no words. Every row is a document of its own, so repeated rows repeat each
-other's windows and get equal results; null ids are allowed. Columns other than doc_id and text play no part;
-`carry` names some to pass through.
+other's windows and get equal results; null ids are allowed. Texts are read whole, however long: beyond `PART` windows a
+super-k-mer ends, which changes none of its windows. An empty table gives no rows. Columns other than doc_id
+and text play no part; `carry` names some to pass through.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
-from marlstone.llm.near_dedup import _words
+from marlstone.llm.common import releasing, shards, staged
+from marlstone.llm.near_dedup import _words, forget
 
 #: Words of the runs that minimisers are chosen among.
 RUN = 8
 #: Super-k-mers of a minimiser that has more than this are counted by a shuffle of their windows.
 LARGE = 20_000
+#: Windows of a text that are cut into super-k-mers at once: their places and hashes share 64 bits.
+PART = 1 << 23
 
 _U = np.uint64
 
@@ -43,6 +47,9 @@ _U = np.uint64
 def super_kmers(words: list[bytes], size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
     """(first windows, minimiser values) of a document's super-k-mers, in order."""
     n = len(words) - size + 1
+    if n > PART:
+        parts = [(at, *super_kmers(words[at : min(at + PART, n) + size - 1], size, run)) for at in range(0, n, PART)]
+        return np.concatenate([first + at for at, first, _ in parts]), np.concatenate([mini for *_, mini in parts])
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     found = np.fromiter(map(_words.__getitem__, words), _U, len(words))
@@ -69,7 +76,7 @@ def super_kmers(words: list[bytes], size: int, run: int) -> tuple[np.ndarray, np
 
 
 def with_hash(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    passed = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry]).alias("passed")
+    passed = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]).alias("passed")
     return docs.select("doc_id", "text", passed, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
 
 
@@ -77,7 +84,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
     """A row for each super-k-mer: doc_id, h (of the text), first (its first window), mini."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
             rows, firsts, minis = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 first, mini = super_kmers((text or "").encode().split(), size, run)
@@ -88,7 +95,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
             columns = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (firsts, minis)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), columns[0].cast(pa.int32()), columns[1]], ["doc_id", "h", "first", "mini"])
 
-    return hashed.select("doc_id", "text", "h").mapInArrow(go, "doc_id long, h long, first int, mini long")
+    return hashed.select("doc_id", "text", "h").mapInArrow(releasing(go, forget), "doc_id long, h long, first int, mini long")
 
 
 def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
@@ -108,7 +115,7 @@ def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return marked.select("doc_id", "h", "text", "listed").mapInArrow(go, "doc_id long, h long, first int, n_windows int, large boolean, mini long, s binary")
+    return marked.select("doc_id", "h", "text", "listed").mapInArrow(releasing(go, forget), "doc_id long, h long, first int, n_windows int, large boolean, mini long, s binary")
 
 
 def windows_of(s: bytes, size: int) -> list[bytes]:
@@ -183,16 +190,15 @@ def counted_apart(strings: DataFrame, size: int) -> DataFrame:
 def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, n_words long, n_removed long, text (the words that are left, one space between; as it came if none goes)."""
     hashed = with_hash(docs, carry)
-    kmers = places(hashed, size, run)
-    shared = kmers.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini", (F.col("n") > LARGE).alias("large"))
+    kmers = staged(places(hashed, size, run), "kmers")
+    shared = staged(kmers.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini", (F.col("n") > LARGE).alias("large")), "shared")
     lists = kmers.join(shared, "mini").groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "large")).alias("listed"))
     of = lists.select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), "listed")
     same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
     packs = staged(packed(hashed.join(of, same), size, run), "packs")
 
     strings = packs.groupBy("mini", "s", "large").agg(F.count(F.lit(1)).alias("n"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = counted(strings.where("not large").repartition(n, "mini").sortWithinPartitions("mini"), size)
+    small = counted(strings.where("not large").repartition(shards(docs), "mini").sortWithinPartitions("mini"), size)
     big = counted_apart(strings.where("large"), size)
     repeats = small.union(big).select(F.md5("s").alias("k"), "at")
     found = packs.select("doc_id", "h", "first", "n_windows", F.md5("s").alias("k")).join(repeats, "k")
@@ -225,4 +231,4 @@ def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN, carry: Sequ
     if not carry:
         return joined.mapInArrow(go, schema)
     kind = hashed.schema["passed"].dataType.simpleString()
-    return joined.mapInArrow(go, f"{schema}, passed {kind}").select("doc_id", "n_words", "n_removed", "text", *[F.col("passed").getField(c).alias(c) for c in carry])
+    return joined.mapInArrow(go, f"{schema}, passed {kind}").select("doc_id", "n_words", "n_removed", "text", *[F.col("passed").getField(f"c{k}").alias(c) for k, c in enumerate(carry)])
