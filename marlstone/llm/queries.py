@@ -53,7 +53,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    book = quality_rules.stored(table(spark, sf_dir, "documents"))
     return book.select(
         "doc_id",
         "n_words",

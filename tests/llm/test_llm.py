@@ -279,6 +279,25 @@ def test_quality_rules(odd, none):
         assert alone[rule] == (sum(m & bit > 0 for m in masks), sum(m == bit for m in masks))
 
 
+def test_quality_rules_words(spark, monkeypatch):
+    """Repeated windows by keys and, where keys of different words meet, by words: equal to brute force."""
+    rng = np.random.default_rng(11)
+    texts = [(k, " ".join(f"w{x}" for x in rng.integers(0, 4, n))) for k, n in enumerate([0, 1, 2, 3, 4, 30, 60, 200])] + [(8, None), (9, "a a a a"), (10, "x " * 5000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def repeated(text):
+        w = words(text)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return len({i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+    want = {k: repeated(t) for k, t in texts}
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.measurements(docs).collect()} == want
+    monkeypatch.setattr(quality_rules, "_MIXED", "size(words) > 3")
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.measurements(docs).collect()} == want
+    book = quality_rules.stored(docs)
+    assert {r.doc_id: r.n_repeat_words for r in book.collect()} == want and not any("text" in c for c in book.columns)
+
+
 def test_html():
     page = (
         '<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div id="content"><h1>Title &amp; x</h1><p>One &nbsp;two<br>three</p>'
