@@ -10,9 +10,11 @@ ending there that fits the piece before, and a unit's result is read from its en
 out by plain merging and remembered. Characters that no piece covers become their UTF-8 bytes' pieces.
 
 No piece of such a model goes on past a word into the next space, nor over characters that no piece holds, so words
-are independent and a worker encodes each once. Models that normalise, or whose pieces cross words, are refused.
+are independent and a worker encodes each once while it remembers it. Models that normalise, or whose pieces cross
+words, are refused. Decoding joins the bytes that each id stands for, looked up in one table.
 Null texts count as empty and have no ids. Decoding drops the space put in front; U+2581 in a text comes
-back as a space, as in the library. Rows are encoded one by one; columns other than doc_id and text play no part.
+back as a space, as in the library. Texts of any length and of any characters are encoded whole. Rows are encoded one by
+one, repeated ones and null ids too; an empty table gives no rows; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlstone.llm.common import releasing
+
 MARK = "▁"
-#: Characters that are indexed at once, and words that a worker remembers.
-INDEXED, REMEMBERED = 200_000, 800_000
+#: Characters that are indexed at once.
+INDEXED = 200_000
+#: Bytes of words in a generation of a worker's table, about, of which it keeps two; bytes of an entry besides its word
+#: and ids; and pairs of pieces that it remembers. Only speed depends on them.
+REMEMBERED, ENTRY, PAIRS = 64 << 20, 180, 400_000
 
 
 class Pieces:
@@ -62,12 +69,19 @@ class Pieces:
             raise ValueError("pieces that cross words or lines are not known here")
         self.size = len(self.text)
         self.names = np.array(list(self.rank))
+        # the first string behind all that begin with a piece: its last character's successor, as code points
+        codes = self.names.view("<u4").reshape(len(self.names), -1).copy()
+        codes[np.arange(len(codes)), np.char.str_len(self.names) - 1] += 1
+        self.behind = codes.view(self.names.dtype).ravel()
         self.ids = np.array([k for _, k in self.rank.values()])
         self.lengths = np.array([len(p) for p in self.rank])
         self.longest = int(self.lengths.max())
         self.extra: dict[str, int] = {}  # characters outside the pieces, numbered on from the pieces
         self.fits: dict[tuple[int, int], bool] = {}
-        self.byte_of = {k: b for b, k in self.byte.items()}
+        spaced = [b"" if k in self.silent else p.replace(MARK, " ").encode() for k, p in enumerate(self.text)]
+        for b, k in self.byte.items():
+            spaced[k] = bytes([b])
+        self.bytes_of = spaced
 
     def merged(self, text: str) -> list[str]:
         """The result for a short text by plain merging: the best pair first, the leftmost of equals."""
@@ -84,7 +98,7 @@ class Pieces:
         """Whether piece b may stand behind piece a; a of -1: at a unit's start."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 3_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             before = [self.text[a]] if a >= 0 else []
             known = self.fits[a, b] = self.merged("".join(before) + self.text[b]) == [*before, self.text[b]]
@@ -106,7 +120,7 @@ class Pieces:
         order = np.argsort(suffixes, kind="stable")
         ordered = suffixes[order]
         low = np.searchsorted(ordered, self.names, "left")
-        high = np.searchsorted(ordered, np.char.add(self.names, "\U0010ffff"), "right")
+        high = np.searchsorted(ordered, self.behind, "left")
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -137,6 +151,8 @@ class Pieces:
             at, found = end, []
             while at > begin:
                 t = last[at]
+                if t < 0:
+                    raise ValueError(f"no pieces lead to place {at - begin} of {unit!r}")
                 found.append(t)
                 at -= len(self.text[t])
             found.reverse()
@@ -145,21 +161,9 @@ class Pieces:
             out.append(np.array(found, "<u4").tobytes())
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes' pieces as UTF-8, marks as spaces, without the space put in front."""
-        parts, held = [], bytearray()
-        for k in ids.tolist():
-            byte = self.byte_of.get(k)
-            if byte is not None:
-                held.append(byte)
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if k not in self.silent:
-                parts.append(self.text[k])
-        parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+    def decode(self, ids: bytes) -> str:
+        """The text of ids (unsigned 32-bit, little-endian): marks as spaces, without the space put in front."""
+        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -170,12 +174,30 @@ class Worker:
     """A worker's pieces and the words that it has met."""
 
     def __init__(self, path: str):
-        self.pieces, self.known = Pieces(path), {}
+        self.pieces = Pieces(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.line_end = self.pieces.byte[10].to_bytes(4, "little")
 
+    def turn(self) -> None:
+        """Begins a new generation of words."""
+        self.older, self.known, self.held = self.known, {}, 0
+
+    def forget(self) -> None:
+        self.turn()
+        self.older = {}
+        self.pieces.fits.clear()
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.pieces.encode(words)
+        self.known.update(zip(words, found))
+        self.held += ENTRY * len(words) + sum(map(len, words)) + sum(map(len, found))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """The ids of each text; null counts as empty."""
+        if self.held > REMEMBERED:
+            self.turn()
         cut: list[list[list[str]]] = []
         new: set[str] = set()
         for text in texts:
@@ -186,17 +208,22 @@ class Worker:
         batch: list[str] = []
         size = 0
         for unit in new:
+            if unit in self.older:
+                self.known[unit] = self.older[unit]
+                self.held += ENTRY
+                continue
             if "\x00" in unit:  # the separator of the index: encoded around it
                 around = [self.pieces.encode([part])[0] if part else b"" for part in unit.split("\x00")]
                 self.known[unit] = self.pieces.byte[0].to_bytes(4, "little").join(around)
+                self.held += ENTRY + 5 * len(unit)
                 continue
             batch.append(unit)
             size += len(unit) + 1
             if size > INDEXED:
-                self.known.update(zip(batch, self.pieces.encode(batch)))
+                self._learn(batch)
                 batch, size = [], 0
         if batch:
-            self.known.update(zip(batch, self.pieces.encode(batch)))
+            self._learn(batch)
         get = self.known.__getitem__
         return [self.line_end.join([b"".join(map(get, line)) for line in units]) for units in cut]
 
@@ -210,15 +237,21 @@ def worker(path: str) -> Worker:
     return _workers[path]
 
 
+def forget() -> None:
+    """Empties the tables of the worker's words."""
+    for held in _workers.values():
+        held.forget()
+
+
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """One row per input row: doc_id, n_tokens long, ids_crc32 long (of little-endian unsigned 32-bit ids), n_chars long and text_crc32 long of the decoded text."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker(model)
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             ids = held.encode(batch.column(1).to_pylist())
-            texts = [held.pieces.decode(np.frombuffer(x, "<u4")) for x in ids]
+            texts = [held.pieces.decode(x) for x in ids]
             columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [len(t) for t in texts], [zlib.crc32(t.encode()) for t in texts]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(go, forget), "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")

@@ -328,12 +328,51 @@ def test_sentence_pieces(spark, odd, none):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = [t or "" for _, t, *_ in ODD] + ["a  b", "def f(x):\n    return x", "<s>\x00 ▁y", "𝒳é"]
+    texts = [t or "" for _, t, *_ in ODD] + ["a  b", "def f(x):\n    return x", "<s>\x00 ▁y", "𝒳é", "hello the\U0010ffffworld \U0010ffff", "\ud7ff\ue000 a\U0010fffe"]
     ids = sentence_pieces.worker(PIECES).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == library.encode(texts)
-    assert [sentence_pieces.worker(PIECES).pieces.decode(np.frombuffer(x, "<u4")) for x in ids] == library.decode(library.encode(texts))
-    got = sentence_pieces.encode_and_decode(odd, PIECES).collect()
-    assert len(got) == len(ODD) and sentence_pieces.encode_and_decode(none, PIECES).count() == 0
+    assert [sentence_pieces.worker(PIECES).pieces.decode(x) for x in ids] == library.decode(library.encode(texts))
+    assert len(sentence_pieces.encode_and_decode(odd, PIECES).collect()) == len(ODD) and sentence_pieces.encode_and_decode(none, PIECES).count() == 0
+
+
+def digests(library, docs):
+    ids = library.encode([t or "" for _, t in docs])
+    texts = library.decode(ids)
+    return Counter((k, len(i), zlib.crc32(np.array(i, "<u4").tobytes()), len(t), zlib.crc32(t.encode())) for (k, _), i, t in zip(docs, ids, texts))
+
+
+def test_sentence_pieces_table(spark, odd, monkeypatch):
+    """The query's columns equal the library's on a whole table, and when a worker forgets its words after every batch."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert Counter(map(tuple, queries.op10_sentence_pieces(spark, "/root/testdata/sf0.01").collect())) == digests(library, [tuple(r) for r in docs.collect()])
+    assert Counter(map(tuple, sentence_pieces.encode_and_decode(odd, PIECES).collect())) == digests(library, [r[:2] for r in ODD])
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 0)
+    worker, texts = sentence_pieces.Worker(PIECES), [t for _, t in docs.limit(60).collect()]
+    assert [x for t in texts for x in worker.encode([t])] == [np.array(i, "<u4").tobytes() for i in library.encode(texts)]
+
+
+def test_tokens_table(spark):
+    """op9's and op3's ids equal the library's on a whole table."""
+    import tokenizers
+
+    library, sf = tokenizers.Tokenizer.from_file(VOCABULARY), "/root/testdata/sf0.01"
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    ids = {k: np.array([*e.ids, 0], "<u4") for (k, _), e in zip(docs, library.encode_batch([t or "" for _, t in docs], add_special_tokens=False))}
+    start, want = 0, set()
+    for k, _ in docs:
+        want.add((k, start, len(ids[k]), zlib.crc32(ids[k].tobytes())))
+        start += len(ids[k])
+    assert {tuple(r) for r in queries.op9_token_files(spark, sf).collect()} == want
+    pieces = queries.op3_packing(spark, sf).collect()
+    ends = defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        ends[r.doc_id] += r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert ends == {k: len(v) for k, v in ids.items()} and len(pieces) < 3 * len(docs)
 
 
 def test_pipeline(spark, tmp_path):
