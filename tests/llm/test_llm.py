@@ -250,6 +250,33 @@ def test_topk(spark):
     assert topk_search.search(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_limits(spark):
+    """Finite components whose products pass a long; shorter vectors; columns of clashing names; repeated rows."""
+    rows = [(50, [3e38, 3e38], 1), (100, [3e38, 2.0], 2), (1, [3e38, 3e38], 3), (2, [-3e38, 0.0], 4), (3, [1.0], 5), (3, [1.0], 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").withColumns({"rank": F.lit("x"), "query_id": F.lit(0)})
+    held = {(k, tuple(min(int(np.floor(256 * float(np.float32(x)))), 2**63 - 1) if x > 0 else max(int(np.floor(256 * float(np.float32(x)))), -(2**63)) for x in [*v, 0.0][:2])) for k, v, _ in rows}
+    want = []
+    for q, a in held:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), k) for k, b in held if k != q)[:5]
+            want += [(q, n, k, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk_search.search(frame, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
+def test_topk_floors():
+    """Known k-th scores leave the best as they are and blocks unscored."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-50, 50, (8, 6))
+    found = [(np.arange(64 * b, 64 * b + 64), centres[b] + rng.integers(-3, 3, (64, 6))) for b in range(8)]
+    queries, names = rng.integers(-9, 9, (40, 6)), np.arange(1000, 1040)
+    row, ids, scores, scored = topk_search.best_of(names, queries, found, 5)
+    kth = {int(names[r]): int(scores[row == r].min()) for r in range(40)}
+    again = topk_search.best_of(names, queries, found, 5, kth)
+    assert [x.tolist() for x in again[:3]] == [row.tolist(), ids.tolist(), scores.tolist()] and again[3] <= scored < 40 * 8
+    brute = sorted((r, -int(queries[r] @ m), int(k)) for r in range(40) for b, mm in found for k, m in zip(b, mm))
+    assert sorted((r, -int(s), int(k)) for r, k, s in zip(row.tolist(), ids.tolist(), scores.tolist())) == [x for r in range(40) for x in [y for y in brute if y[0] == r][:5]]
+
+
 def removed(docs, size):
     all_words = [words(t) for _, t in docs]
     places = defaultdict(list)
