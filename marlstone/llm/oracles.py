@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm.url_filters import BUSINESS
+
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 h AS (SELECT doc_id, ls, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM d),
@@ -28,9 +30,9 @@ hit AS (
   SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(action, length(rh || rp)) AS action
   FROM u, rules WHERE ('.' || host) LIKE ('%.' || rh) AND starts_with(path, rp) GROUP BY page_id)
 SELECT u.page_id, host, path, rule,
-       coalesce(action, CASE WHEN regexp_matches(host || path, '^([^/]*\.)?(adult|porn|casino|spam|phish|phishing|malware)-[^./]*\.') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?(WORDS)([.-][^/]*)?(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN hit USING (page_id)
-"""
+""".replace("WORDS", "|".join(word for words in BUSINESS.values() for word in words.split()))
 
 QUALITY_RULES = r"""
 WITH d AS (

@@ -220,7 +220,8 @@ def test_url_filters(spark):
 def test_url_filters_tokens(spark):
     """Each rule is fetched by the tokens of the URLs that it matches."""
     rules = [url_filters.path_rule("block", "x.org/Foo/bar"), *url_filters.PATTERNS]
-    urls = ["http://x.org/Foo/bar1", "http://x.org/foo/bar1"] + [f"http://a.{word}-bank.com/" for word in ("adult", "porn", "casino", "spam", "phish", "phishing", "malware")]
+    named = [word for words in url_filters.BUSINESS.values() for word in words.split()]
+    urls = ["http://x.org/Foo/bar1", "http://x.org/foo/bar1"] + [f"http://a.{word}-bank.com/" for word in named]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert got == {0: ("x.org/Foo/bar", "block"), 1: (None, "allow")} | {k: (None, "block") for k in range(2, len(urls))}
     for rule in rules:
@@ -231,6 +232,28 @@ def test_url_filters_tokens(spark):
     assert [r.verdict for r in url_filters.judge(spark.createDataFrame([(1, urls[0])], "page_id long, url string"), foo).collect()] == ["block"]
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_url_filters_edges(spark, monkeypatch, limit):
+    """The index as a map and as a table: nulls, repeated rows, clashing columns, long urls, an empty table; equal to brute force."""
+    monkeypatch.setattr(url_filters, "INLINE", limit)
+    urls = [None, "", "://", "x://", "http://best-casino.org/en", "http://casinos.net?casino", "http://x.net/casino/", "http://free-bets.com", "http://a.com/de/" + "y/" * 50_000, "HTTP://A.Example.ORG/en/1#x", "http://adsense.net/", "http://x.org\n/es", "http://example.org/es/é"]
+    rows = [(k % 9 or None, u, "r", "h") for k, u in enumerate([*urls, *urls])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, host string")
+    got = url_filters.judge(pages, queries.URL_RULES)
+
+    def want(k, url):
+        cut = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), cut[1]), cut[2]) if cut else ("", "")
+        hits = [r for r in queries.URL_RULES if re.search(r.pattern, host + path)]
+        best = max(hits, key=lambda r: (r.priority, r.name or ""), default=None)
+        return k, host, path, best and best.name, best.action if best else "allow"
+
+    assert Counter(map(tuple, got.collect())) == Counter(want(k, u) for k, u, *_ in rows)
+    assert url_filters.judge(pages.where("false"), queries.URL_RULES).count() == 0
+    with pytest.raises(ValueError):
+        url_filters.entries([url_filters.Rule("block", ".", (), 1, None)])
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(1, 1500)] + [(1500, None), (1501, [None] * 8), (1502, [float("nan")] * 8), (1503, [0.5]), (50, [9.0] * 8), (None, [1.0] * 8), (4, [1e12] * 8)]
