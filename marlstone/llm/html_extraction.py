@@ -4,11 +4,15 @@ Markup is stripped into lines, one per block element; an element's weight is the
 and nothing where the markup says what it is: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 A class, id or role alone says nothing of an element that holds most of the text of the page's articles (of all its text,
 where it marks none), or an article's h1.
-Where the page marks an article, each of its lines is kept, links too. Elsewhere the text surges where the sum of weights
-over a sliding window of lines rises from nothing and dives where it falls back; every stretch between is kept, without
-its lines of no weight.
+Where the page marks an article, each of its lines is kept, links too. Elsewhere weights are summed over sliding windows of
+lines: the text surges where the sum rises from nothing and dives where it falls back, and every stretch between is kept,
+without its lines of no weight, if its highest sum is comparable to the page's: `DENSE` of the median of all
+sums above zero.
 
-Null and empty pages have an empty text. Rows are judged one by one; columns other than page_id, url, html play no part.
+The page is read once from left to right, in time linear in its length. Markup is read as browsers do, but leniently where
+it is broken: a quote that is never closed is a character like others, a tag that is never closed is text that is left out.
+Null and empty pages have an empty text, pages of any length are read whole. Rows are judged one by one, repeated rows and
+null ids too; an empty table gives no rows; columns other than page_id, url, html play no part.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,16 +39,85 @@ WORDS = frozenset(
     " complementary disqus dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion"
     " related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.I | re.S,
-)
+#: Elements whose content is no markup, and ones whose content is no text of the page.
+RAW = frozenset("script style textarea iframe noembed noframes xmp title".split())
+ASIDE_ALWAYS = frozenset("noscript template svg object canvas audio video math".split())
+#: Lines of a window on either side of a line; share of the median sum that a stretch reaches.
+REACH, DENSE = 1, 0.125
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>=\"']*")
+_VALUE = re.compile(r"\s*([\"']?)")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup, from left to right; comments and the like have no name.
+
+    Elements of `RAW` are one piece with their content, and that piece has no name either.
+    """
+    at, size = 0, len(page)
+    missing: set[str] = set()  # what does not stand anywhere behind
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := page.find("<", at)) >= 0:
+        following = page[start + 1 : start + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            end = find("-->" if comment else ">", start + 4 if comment else start)
+            at = size if end < 0 else end + (3 if comment else 1)
+            yield start, at, False, "", ""
+            continue
+        named = _NAME.match(page, start + 1 + (following == "/"))
+        if not named:
+            at = start + 1
+            continue
+        if find(">", named.end()) < 0:
+            yield start, size, False, "", ""
+            return
+        end = named.end()
+        while True:
+            end = _PLAIN.match(page, end).end()
+            if page[end] == ">":
+                break
+            if page[end] == "=":  # a value: quoted, or up to white space or the tag's end
+                value = _VALUE.match(page, end + 1)
+                closed = find(value[1], value.end()) if value[1] else -1
+                if closed >= 0 and find(">", closed) >= 0:
+                    end = closed + 1
+                else:
+                    end = value.end()
+                    while page[end] != ">" and not page[end].isspace():
+                        end += 1
+            else:
+                end += 1
+        name, closing = named[0].lower(), following == "/"
+        at = end + 1
+        if name in RAW and not closing:
+            close = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at) if f"</{name}" not in missing else None
+            if close:
+                yield start, close.end(), False, "", ""
+                at = close.end()
+                continue
+            missing.add(f"</{name}")
+            if name in ("script", "style"):
+                yield start, size, False, "", ""
+                return
+            yield start, at, False, "", ""
+            continue
+        if name in ASIDE_ALWAYS and page[end - 1] == "/":
+            name = ""  # closes itself
+        yield start, at, closing, name, page[named.end() : end]
+
+
 def held(page: str) -> tuple[int, int, dict[int, tuple[int, bool, int]]]:
     """Lengths of a page's text outside links: within article or main, and of all; the same by the end of each start tag, with whether the element holds an h1 between."""
     counts = [0, 0, 0]  # text in articles, h1 and text until here
@@ -65,17 +139,16 @@ def held(page: str) -> tuple[int, int, dict[int, tuple[int, bool, int]]]:
         found_in[at] = (inside, titles > 0, text)
         return tag
 
-    for found in _TAG.finditer(page):
-        read(page[end : found.start()])
-        end = found.end()
-        tag = (found[3] or "").lower()
+    for start, behind, closing, tag, _ in tags(page):
+        read(page[end:start])
+        end = behind
         if not tag or tag in VOID:
             continue
-        if tag in BLOCKS and stack and stack[-1][0] == "p" and not found[2]:
+        if tag in BLOCKS and stack and stack[-1][0] == "p" and not closing:
             close()
         if tag == "a":
-            linked = not found[2]
-        if found[2]:
+            linked = not closing
+        if closing:
             while opened[tag] and close() != tag:
                 pass
         else:
@@ -90,7 +163,7 @@ def held(page: str) -> tuple[int, int, dict[int, tuple[int, bool, int]]]:
 
 def set_aside(tag: str, attributes: str, in_article: bool, main: Callable[[], bool]) -> bool:
     """Whether an element is set aside; a word of its class, id or role alone doesn't do if it holds `main` content."""
-    if tag in ASIDE or tag == "header" and not in_article:
+    if tag in ASIDE or tag in ASIDE_ALWAYS or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and not _NAMED.search(attributes):
         return False
@@ -129,17 +202,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     end = 0
-    for found in _TAG.finditer(page):
-        text = page[end : found.start()]
-        end = found.end()
+    for start, behind, closing, tag, attributes in tags(page):
+        text = page[end:start]
+        end = behind
         if text and not aside:
             pieces.append(text)
             if links:
                 linked += len(" ".join(entities.unescape(text).split()))
-        tag = (found[3] or "").lower()
         if not tag:
             continue
-        closing, block = bool(found[2]), tag in BLOCKS
+        block = tag in BLOCKS
         if aside:
             if aside == "p" and block and not (closing and tag == "p"):
                 aside = ""  # a paragraph ends where the next block begins
@@ -161,7 +233,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         elif tag in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
-        if not closing and tag not in VOID and set_aside(tag, found[4] or "", article > 0, main):
+        if not closing and tag not in VOID and set_aside(tag, attributes, article > 0, main):
             if tag in ("article", "main"):
                 article -= 1
             if not block:
@@ -177,15 +249,23 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if any(article and weight for _, weight, article in lines):
         return "\n\n".join(text for text, _, article in lines if article and text)
-    # the sum over a window is above zero at each line that has weight, so these are the lines of all stretches
-    return "\n\n".join(text for text, weight, _ in lines if weight)
+    weights = [weight for _, weight, _ in lines]
+    sums = [sum(weights[max(0, k - REACH) : k + REACH + 1]) for k in range(len(weights))]
+    above = sorted(n for n in sums if n)
+    least = DENSE * above[len(above) // 2] if above else 0
+    kept: list[str] = []
+    for surge, stretch in groupby(range(len(lines)), key=lambda k: sums[k] > 0):
+        among = list(stretch)
+        if surge and max(sums[k] for k in among) >= least:
+            kept += [lines[k][0] for k in among if lines[k][1]]
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars long."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             texts = [main_text(page) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

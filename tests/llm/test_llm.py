@@ -2,6 +2,7 @@
 
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -374,6 +375,60 @@ def test_html_wrappers():
     assert html_extraction.main_text('<p class="ad">Buy<p>Text that is here.') == "Text that is here."
 
 
+def test_html_probes():
+    """Broken markup, and names that only look like wrappers of something else."""
+    main = html_extraction.main_text
+    assert main('<div class="layout has-sidebar"><article><p>Main text.</p></article></div>') == main('<article class="post with-comments"><p>Main text.</p></article>') == "Main text."
+    assert main("<p class=it's>Main</p><p>More text here</p>") == "Main\n\nMore text here"
+    assert main('<a href="x>link</a><p>Main text</p>') == "Main text" and main("<p>a < b and c > d</p>") == "a < b and c > d"
+    assert main("<p>x<svg/>y</p><!-- <p>no</p> --><p>z<textarea>t</textarea></p>") == "xy\n\nz" and main('<article><p data-x="<b>">T</p></article>') == "T"
+    ad = '<div class="ad">Buy this</div>' * 3
+    assert main(f"<p>{'one ' * 90}</p>{ad}<p>{'two ' * 90}</p>") == ("one " * 90).strip() + "\n\n" + ("two " * 90).strip()
+    for long in ("<a " * 200_000, "<p>" * 200_000, "<!--" * 200_000, "<a href='" * 200_000, "<script " * 100_000 + ">", "<div class=ad>" * 50_000, "</div>" * 200_000):
+        began = time.process_time()
+        main(long)
+        assert time.process_time() - began < 2
+    assert main("<article>" + "<p>some <b>bold</b> text</p>" * 50_000 + "</article>") == "\n\n".join(["some bold text"] * 50_000)
+
+
+def test_html_brute(spark):
+    """Pages put together from known texts: the article comes back whole; without one, the lines that a plain reading of the rule keeps."""
+    rng = np.random.default_rng(17)
+    noise = ["<nav><ul><li><a href=/x>Home page</a></li></ul></nav>", "<footer>&copy; site</footer>", '<div class="ad">Buy it now</div>', "<script>if (a < b) c('<p>no</p>')</script>", "<form>Name <input></form>", '<section id="comments"><p>I liked it</p></section>', "<aside><p>Side story</p></aside>", "<!-- <p>hidden</p> -->", '<div class="cookie-notice"><p>We use cookies</p></div>']
+    made = [("&amp; so", "& so"), ("<b>bold</b> word", "bold word"), ("plain words", "plain words"), ("a &lt;tag&gt;", "a <tag>"), ("line<br>end", "line end"), ("  wide \n space", "wide space"), ('<a href="y">a link</a> here', "a link here")]
+
+    def some(n):
+        picked = [made[k] for k in rng.integers(0, len(made), n).tolist()]
+        return " ".join(x for x, _ in picked), " ".join(y for _, y in picked)
+
+    pages, want = [], {}
+    for k in range(60):
+        blocks = [(tag, *some(rng.integers(1, 9))) for tag in rng.choice(["p", "h2", "li", "blockquote", "pre"], 6)]
+        around = lambda: "".join(noise[i] for i in rng.integers(0, len(noise), rng.integers(0, 4)).tolist())
+        body = "".join(f"<{tag}>{x}</{tag}>{around()}" for tag, x, _ in blocks)
+        pages.append((k, f"u{k}", f"<html><head><title>T</title></head><body>{around()}<article>{body}</article>{around()}</body></html>"))
+        want[k] = "\n\n".join(y for *_, y in blocks)
+    for k in range(60, 100):
+        weights = (rng.integers(0, 3, 25) * rng.integers(1, 60, 25)).tolist()
+        pages.append((k, f"u{k}", "<body>" + "".join(f"<p>{'x' * n}</p>" if n else '<div class="ad">x</div>' for n in weights) + "</body>"))
+        sums = [sum(weights[j] for j in (i - 1, i, i + 1) if 0 <= j < 25) for i in range(25)]
+        above = sorted(n for n in sums if n > 0)
+        kept = []
+        for i in range(25):
+            low = max([j + 1 for j in range(i) if sums[j] == 0], default=0)
+            high = min([j for j in range(i, 25) if sums[j] == 0], default=25)
+            if weights[i] and 8 * max(sums[low:high]) >= above[len(above) // 2]:
+                kept.append("x" * weights[i])
+        want[k] = "\n\n".join(kept)
+    rows = [(*r, "t", 1) for r in [*pages, *pages, (None, None, None), (200, None, ""), (201, "u", None)]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_extraction.extract(frame).collect()
+    want |= {None: "", 200: "", 201: ""}
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    assert all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert html_extraction.extract(frame.where("false")).count() == 0
+
+
 def test_sentence_pieces(spark, odd, none):
     import sentencepiece
 
