@@ -22,7 +22,7 @@ def fraction(x: Column) -> Column:
     steps = F.sequence(F.lit(1), F.lit(44))
     pair = F.struct(top.alias("a"), low.alias("b"))
     divisor = F.aggregate(steps, pair, lambda s, _: F.when(s["a"] == 0, s).otherwise(F.struct((s["b"] % s["a"]).alias("a"), s["a"].alias("b"))), lambda s: s["b"])
-    return F.concat(F.expr("cast(null as string)") if x is None else (top / divisor).cast("long").cast("string"), F.lit("/"), (low / divisor).cast("long").cast("string"))
+    return F.concat((top / divisor).cast("long").cast("string"), F.lit("/"), (low / divisor).cast("long").cast("string"))
 
 
 def settlement_label(value: Column) -> Column:

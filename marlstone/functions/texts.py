@@ -57,5 +57,18 @@ def market_family(key: Column, partition: Column | None = None) -> tuple[Column,
 
 def recurring_family(slug: Column) -> Column:
     """The family of recurring up-or-down markets by the slug's end: duration and an epoch of 9 to 12 digits."""
-    found = F.regexp_extract(F.coalesce(slug, F.lit("")), r"(?i)(?:^|-)(?:updown|up-or-down)-(5m|15m|4h)-[0-9]{9,12}$", 1)
+    found = F.regexp_extract(F.coalesce(F.trim(slug), F.lit("")), r"(?i)(?:^|-)(?:updown|up-or-down)-(5m|15m|4h)-[0-9]{9,12}$", 1)
     return F.when(found == "", "polymarket_conventional").otherwise(F.concat(F.lit("polymarket_updown_"), F.lower(found)))
+
+
+def sorted_digest(payload: Column, without: Sequence[str] = ()) -> Column:
+    """SHA-256 of a JSON text with all keys sorted, some top-level ones left out; of the text itself where it isn't JSON.
+
+    Variant objects keep their keys sorted, so the canonical text needs no Python."""
+    whole = F.try_parse_json(payload)
+    text = F.to_json(whole)
+    if without:
+        fields = F.from_json(text, "map<string,string>")
+        kept = F.map_filter(fields, lambda k, _: ~k.isin(list(without)))
+        text = F.when(payload.rlike(r"^\s*\{"), F.to_json(F.array_sort(F.map_entries(kept)))).otherwise(text)
+    return F.sha2(F.coalesce(text, payload), 256)

@@ -37,3 +37,19 @@ def holes(intervals: DataFrame, keys: Sequence[str], start: str = "start", end:
     seen = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     reached = intervals.select(*keys, F.max(end).over(seen).alias("hole_start"), F.col(start).alias("hole_end"))
     return reached.where("hole_start is not null and hole_end > hole_start")
+
+
+def running_max(rows: DataFrame, keys: Sequence[str], order: str, value: str, ranges: int = 64) -> DataFrame:
+    """Adds `running`: the greatest value of a key's rows up to each, rows of one place included.
+
+    Few keys may hold all rows, so each key is cut into ranges of the order (approximate quantiles, one pass): maxima run within a
+    range, and the maxima of the ranges before it, of which there are `ranges` a key, are joined to it."""
+    cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order).cast("double"))) if cuts else F.lit(0)
+    cut = rows.withColumn("_range", place)
+    tops = cut.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_range", F.max("_top").over(before).alias("_before"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumn("_within", F.max(value).over(within))
+    return run.join(tops, [*keys, "_range"], "left").withColumn("running", F.greatest("_before", "_within")).drop("_range", "_within", "_before")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.latest import conflicts_at_latest, latest_per_key
+from marlstone.sources.views import check_name
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -58,24 +60,73 @@ def upsert_known(known: DataFrame, observed: DataFrame, keys: Sequence[str], at:
 
 #: Root plans of statements that only read.
 READS = frozenset(["Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "UnresolvedWith", "SubqueryAlias", "UnresolvedRelation", "LocalRelation", "Join", "UnresolvedHaving", "WithCTE", "Except", "Intersect", "UnresolvedInlineTable", "OneRowRelation"])
+#: Nodes that read something else than a named relation.
+FOREIGN = frozenset(["UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedTableValuedFunctionWithArgs", "ScriptTransformation", "RelationTimeTravel", "UnresolvedCatalogRelation", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier"])
+#: Functions that call into the virtual machine, or tell of files and the session.
+REFUSED = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_catalog current_database current_schema current_user session_user user version".split())
+
+
+def _items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _walk(gateway, node, names: set[str], functions: list[tuple[str, ...]], relations: list[tuple[str, ...]]) -> None:
+    """Names of the functions, relations and common table expressions of a parsed plan, or of an expression in it."""
+    kind = node.getClass().getSimpleName()
+    if kind in FOREIGN:
+        raise ValueError("only named views are read")
+    if kind == "UnresolvedRelation":
+        relations.append(tuple(_items(node.multipartIdentifier())))
+    elif kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        found = node.nameParts() if kind == "UnresolvedFunction" else None
+        functions.append(tuple(x.lower() for x in _items(found)) if found is not None else (node.name().funcName().lower(),))
+    elif kind == "UnresolvedWith":
+        for pair in _items(node.cteRelations()):
+            names.add(pair._1().lower())
+            _walk(gateway, pair._2(), names, functions, relations)
+    children = _items(node.children())
+    if is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.plans.QueryPlan"):
+        children += _items(node.expressions())
+    if is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        children.append(node.plan())
+    for child in children:
+        _walk(gateway, child, names, functions, relations)
 
 
 class Snapshot:
-    """A private session with pinned views that answers single SELECTs within bounds; beyond a bound it fails, never cuts."""
+    """A private session with pinned views that answers single SELECTs within bounds; beyond a bound it fails, never cuts.
 
-    def __init__(self, spark: SparkSession, views: dict[str, DataFrame | str], max_rows: int = 1_000_000, max_bytes: int = 268_435_456):
+    A statement may read the views and its own common table expressions, by name, and use functions that Spark itself has but for
+    `REFUSED`. Paths, table functions, other catalogs and calls into the virtual machine are errors before anything runs.
+    """
+
+    def __init__(self, spark: SparkSession, views: dict[str, str], max_rows: int = 1_000_000, max_bytes: int = 268_435_456):
         self.spark, self.max_rows, self.max_bytes = spark.newSession(), max_rows, max_bytes
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        for name, source in views.items():
-            path = source if isinstance(source, str) else None
-            if path is None:
+        for name, path in views.items():
+            if not isinstance(path, str):
                 raise ValueError("views are paths of Parquet data")
-            self.spark.read.option("mergeSchema", "true").parquet(path).createOrReplaceTempView(name)
+            self.spark.read.option("mergeSchema", "true").parquet(path).createOrReplaceTempView(check_name(name))
+        self.views = {name.lower() for name in views}
+        self.functions = {r.function.lower() for r in self.spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - REFUSED
 
-    def frame(self, sql: str, args: Sequence | None = None) -> DataFrame:
+    def check(self, sql: str) -> None:
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         if plan.getClass().getSimpleName() not in READS:
             raise ValueError("only a single SELECT is answered")
+        names: set[str] = set()
+        functions: list[tuple[str, ...]] = []
+        relations: list[tuple[str, ...]] = []
+        _walk(self.spark._sc._gateway, plan, names, functions, relations)
+        for name in relations:
+            if len(name) != 1 or name[0].lower() not in self.views | names:
+                raise ValueError(f"no view {'.'.join(name)}")
+        for name in functions:
+            if len(name) != 1 or name[0] not in self.functions:
+                raise ValueError(f"no function {'.'.join(name)} here")
+
+    def frame(self, sql: str, args: Sequence | None = None) -> DataFrame:
+        self.check(sql)
         return self.spark.sql(sql, args=list(args)) if args else self.spark.sql(sql)
 
     def query(self, sql: str, args: Sequence | None = None):
@@ -84,3 +135,7 @@ class Snapshot:
         if found.num_rows > self.max_rows or found.nbytes > self.max_bytes:
             raise ValueError("the result is beyond the bounds")
         return found
+
+    def close(self) -> None:
+        for name in self.views:
+            self.spark.catalog.dropTempView(name)

@@ -447,19 +447,6 @@ def resolution_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "label", quality.alias("quality"), reason.alias("reason"))
 
 
-@registered(
-    """WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS label, CASE WHEN doc_id % 4 = 0 THEN 'high' ELSE 'medium' END AS conf FROM labels WHERE doc_id % 7 <> 0),
-f AS (SELECT doc_id, CASE WHEN quality = 1 OR doc_id % 11 = 0 THEN 'yes' ELSE 'no' END AS label, 'medium' AS conf FROM labels WHERE doc_id % 5 <> 0),
-j AS (SELECT doc_id, r.label AS rl, f.label AS fl, r.conf AS rc, f.conf AS fc, CASE WHEN f.label IS NULL THEN 'carried' WHEN r.label IS NULL THEN 'added' WHEN r.label <> f.label THEN 'conflict' WHEN r.conf = 'high' THEN 'weaker' ELSE 'refreshed' END AS action FROM r FULL OUTER JOIN f USING (doc_id))
-SELECT doc_id, CASE WHEN action IN ('carried', 'conflict', 'weaker') THEN rl ELSE fl END AS label, CASE WHEN action IN ('carried', 'conflict', 'weaker') THEN rc ELSE fc END AS confidence, action FROM j"""
-)
-def resolution_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "labels")
-    retained = rows.where("doc_id % 7 != 0").select("doc_id", F.expr("if(quality = 1, 'yes', 'no')").alias("label"), F.expr("if(doc_id % 4 = 0, 'high', 'medium')").alias("confidence"))
-    fresh = rows.where("doc_id % 5 != 0").select("doc_id", F.expr("if(quality = 1 or doc_id % 11 = 0, 'yes', 'no')").alias("label"), F.lit("medium").alias("confidence"))
-    return resolution.merge_cache(retained, fresh, ["doc_id"])
-
-
 @registered("SELECT 'quality' AS dimension, quality::VARCHAR AS value, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT 'toxic', toxic::VARCHAR, count(*) FROM labels GROUP BY toxic")
 def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.summary(read(spark, sf_dir, "labels"), ["quality", "toxic"])
@@ -511,9 +498,7 @@ SELECT e.book, 0 AS epoch, e.seq, count(i.seq) AS n_levels, max(i.price) FILTER
 FROM (SELECT DISTINCT book, seq FROM t) e LEFT JOIN i ON i.book = e.book AND i.size > 0 AND i.seq <= e.seq AND (i.upto IS NULL OR e.seq < i.upto) GROUP BY e.book, e.seq"""
 )
 def tape_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = _tape(spark, sf_dir)
-    found = tape.tops(levels.select("book", "epoch", "seq").distinct(), tape.level_intervals(levels, ["book"]), ["book"])
-    return found.select("book", "epoch", "seq", F.coalesce("n_levels", F.lit(0)).alias("n_levels"), "best_bid", "best_ask")
+    return tape.tops(_tape(spark, sf_dir), ["book"]).select("book", "epoch", "seq", "n_levels", "best_bid", "best_ask")
 
 
 @registered(

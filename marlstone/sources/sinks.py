@@ -18,7 +18,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_atomic(rows: DataFrame, path: str, *, overwrite: bool = False, spec: Spec | None = None, partition_by: Sequence[str] = ()) -> None:
-    """Writes beside the target and renames; with a specification only what converts without loss is written."""
+    """Writes beside the target and renames; with a specification only what converts without loss is written.
+
+    An overwritten target moves aside first and comes back if the new one can't take its place."""
     spark = rows.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target) and not overwrite:
@@ -26,10 +28,14 @@ def write_atomic(rows: DataFrame, path: str, *, overwrite: bool = False, spec: S
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staging"
     writer = (convert(rows, spec) if spec else rows).write.option("compression", "zstd")
     writer.partitionBy(*partition_by).parquet(staging) if partition_by else writer.parquet(staging)
-    if overwrite and fs.exists(target):
-        fs.delete(target, True)
+    aside = _fs(spark, f"{staging}.replaced")[1]
+    replaced = fs.exists(target) and fs.rename(target, aside)
     if not fs.rename(_fs(spark, staging)[1], target):
+        if replaced:
+            fs.rename(aside, target)
         raise OSError(f"cannot move the staged write to {path}")
+    if replaced:
+        fs.delete(aside, True)
 
 
 def append_segments(rows: DataFrame, path: str, partition_by: Sequence[str] = ("exchange", "date"), max_rows: int = 50_000) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+#: Literals, quoted names and comments, which are kept as they are, or a star's exclusion.
+_LITERAL = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/)|\*\s+exclude\s*\(""", re.I | re.S)
 
 
 def check_name(name: str) -> str:
@@ -58,9 +60,10 @@ def describe(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def query(spark: SparkSession, sql: str, datasets: Mapping[str, str | Sequence[str]], limit: int = 0) -> DataFrame:
-    """SQL over datasets by name. `* EXCLUDE` is taken for `* EXCEPT`; a limit of 0 is none."""
-    register_all(spark, datasets)
-    found = spark.sql(re.sub(r"(?i)\*\s+exclude\s*\(", "* EXCEPT (", sql))
+    """SQL over datasets by name, in a session of its own. `* EXCLUDE` outside literals is taken for `* EXCEPT`; a limit of 0 is none."""
+    own = spark.newSession()
+    register_all(own, datasets)
+    found = own.sql(_LITERAL.sub(lambda m: m[0] if m[1] else "* EXCEPT (", sql))
     return found.limit(limit) if limit else found
 
 

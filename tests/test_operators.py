@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone import queries
+from marlstone import queries, queries_venues  # noqa: F401
 from marlstone.functions import labels, prices
 from marlstone.operators import asof, bars, diff, latest, sequences
 from marlstone.plans import catalog, history, merging, tape, validation
@@ -81,10 +81,8 @@ def test_payout_labels(spark):
 
 def test_tape(spark):
     levels = spark.createDataFrame([("m", 1, 1, "bid", 0.40, 10.0), ("m", 1, 1, "ask", 0.60, 5.0), ("m", 1, 2, "ask", 0.55, 7.0), ("m", 1, 2, "ask", 0.60, 0.0)], "book string, epoch int, seq int, side string, price double, size double")
-    got = {r.seq: (r.best_bid, r.bid_size, r.best_ask, r.ask_size, r.n_levels) for r in tape.tops(levels.select("book", "epoch", "seq").distinct(), tape.level_intervals(levels, ["book"]), ["book"]).collect()}
+    got = {r.seq: (r.best_bid, r.bid_size, r.best_ask, r.ask_size, r.n_levels) for r in tape.tops(levels, ["book"]).collect()}
     assert got == {1: (0.40, 10.0, 0.60, 5.0, 2), 2: (0.40, 10.0, 0.55, 7.0, 2)}
-    folded = levels.groupBy("book").applyInPandas(lambda pdf: tape.tops_of_sorted(pdf, ["book"]), "book string, epoch int, seq int, best_bid double, bid_size double, best_ask double, ask_size double")
-    assert {r.seq: (r.best_bid, r.bid_size, r.best_ask, r.ask_size) for r in folded.collect()} == {k: v[:4] for k, v in got.items()}
     events = spark.createDataFrame([("m", 1, 1, 10, "delta"), ("m", 1, 2, 20, "checkpoint"), ("m", 1, 2, 30, "delta")], "book string, epoch int, seq int, received int, kind string")
     assert {r.problem for r in tape.violations(events, ["book"]).collect()} == {"duplicate coordinate", "delta before checkpoint"}
     deltas = spark.createDataFrame([("m", 1, "bid", 0.4, 10.0, True), ("m", 2, "bid", 0.4, -4.0, False), ("m", 3, "bid", 0.4, 5.0, True)], "book string, seq int, side string, price double, delta double, snapshot boolean")
