@@ -87,7 +87,8 @@ def pool_logs(logs: DataFrame, pools: DataFrame, trader_word: int = 1, role: str
 def with_provenance(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """Rows with the request that they come from; one without is an error when it is read."""
     found = rows.join(requests.withColumn("_known", F.lit(True)), key, "left")
-    return found.withColumn("_known", F.when(F.col("_known"), True).otherwise(F.raise_error(F.concat(F.lit(f"no request {key}="), F.col(key).cast("string"))).cast("boolean"))).drop("_known")
+    lacking = F.raise_error(F.concat(F.lit(f"no request {key}="), F.col(key).cast("string"))).cast(rows.schema[key].dataType)
+    return found.withColumn(key, F.when(F.col("_known"), F.col(key)).otherwise(lacking)).drop("_known")
 
 
 def repaired(wallets: DataFrame, found: DataFrame) -> DataFrame:

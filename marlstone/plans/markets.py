@@ -17,7 +17,7 @@ def _canonical(payload: Column) -> Column:
 
 def polymarket_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """A row per market with an id: 27 columns of its state and contract, and the payload with its hash."""
-    p = F.col(payload)
+    raw, p = F.col(payload), m.Fields("_fields")
     market_id = F.coalesce(*[F.nullif(m.field(p, n), F.lit("")) for n in ("id", "market_id")])
     bid, ask = m.first_number(p, m.BIDS), m.first_number(p, m.ASKS)
     made = {
@@ -46,15 +46,15 @@ def polymarket_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         "uma_resolution_status": m.first_text(p, ["uma_resolution_status", "umaResolutionStatus", "resolutionStatus"]),
         "resolved_by": m.first_text(p, ["resolved_by", "resolvedBy"]),
         "resolution_source": m.first_text(p, ["resolution_source", "resolutionSource"]),
-        "raw_json": _canonical(p),
-        "raw_json_sha256": sorted_digest(p),
+        "raw_json": _canonical(raw),
+        "raw_json_sha256": sorted_digest(raw),
     }
-    return payloads.select(*[c.alias(n) for n, c in made.items()]).where("market_id is not null")
+    return payloads.withColumn("_fields", m.Fields.parsed(raw)).select(*[c.alias(n) for n, c in made.items()]).where("market_id is not null")
 
 
 def kalshi_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """A row per Kalshi market: 37 columns of its state and contract, and the payload with its hash."""
-    p = F.col(payload)
+    raw, p = F.col(payload), m.Fields("_fields")
     ticker, status = m.field(p, "ticker"), m.kalshi_status(m.field(p, "status"))
     both = lambda names: m.first_text(p, [s for n in names.split() for s in dict.fromkeys((n, m.camel(n)))])
     made = {
@@ -88,10 +88,10 @@ def kalshi_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         "is_provisional": F.coalesce(m.truth(both("is_provisional"), loose=True), status.isin(m.PROVISIONAL), F.lit(False)),
         "rules_primary": m.first_text(p, ["rules_primary", "rulesPrimary", "rules", "market_rules", "marketRules"]),
         "rules_secondary": both("rules_secondary"),
-        "raw_json": _canonical(p),
-        "raw_json_sha256": sorted_digest(p),
+        "raw_json": _canonical(raw),
+        "raw_json_sha256": sorted_digest(raw),
     }
-    return payloads.select(*[c.alias(n) for n, c in made.items()])
+    return payloads.withColumn("_fields", m.Fields.parsed(raw)).select(*[c.alias(n) for n, c in made.items()])
 
 
 def trades(messages: DataFrame, venue: str, payload: str = "message") -> DataFrame:
