@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. A document's words (A-Z lower-cased) give its set of shingles and 256 MinHash values of 16 bits.
-   Documents of equal word sequences are one class, named by the digest of its words.
+   Documents of equal word sequences are one class, named by the digest of its words' hashes.
 2. The forest has 32 sorted orders of all classes, each by eight values of its own. The orders are range-partitioned, so a
    dense region spreads over tasks, and walked as sorted streams. Of the neighbours in all orders each class takes
    the one with the longest common prefix. These pairs, one for each class at most, are confirmed on the whole shingle sets of
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import hashing
 from marlstone.llm.common import releasing, shards, staged
 from marlstone.llm.graphs import components
 
@@ -42,48 +43,28 @@ TREES, DEPTH, FIRST = 32, 8, 4
 WIDTH, REGION = 2, 4
 #: Classes, and shingles, in a block of a region.
 WIDE, HEAVY = 1024, 4_000_000
-#: Shingles that a task keeps of texts while it confirms pairs, and words whose hashes a worker remembers.
-HELD, REMEMBERED = 2_000_000, 200_000
+#: Shingles that a task keeps of texts while it confirms pairs.
+HELD = 2_000_000
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased: bytes cut at ASCII white space."""
-    return (text or "").encode().lower().split()
+def words_of(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lower-cased."""
+    return hashing.words((text or "").encode().lower())[0]
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_words = Words()
-
-
-def forget() -> None:
-    """Empties the worker's table of words."""
-    _words.clear()
-
-
-def shingles(words: list[bytes], size: int) -> np.ndarray:
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a word sequence's shingles; the whole sequence is one if it is shorter."""
-    if not words:
-        return np.empty(0, _U)
     if len(words) < size:
-        return np.array([int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little")], _U)
-    found = np.fromiter(map(_words.__getitem__, words), _U, len(words))
-    h = found[: len(found) - size + 1].copy()
+        return np.array([int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little")] if len(words) else [], _U)
+    n = len(words) - size + 1
+    h = words[:n].copy()
     for k in range(1, size):
         h *= _U(0x9E3779B97F4A7C15)
         h ^= h >> _U(29)
-        h += found[k : len(found) - size + 1 + k]
+        h += words[k : n + k]
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
     h ^= h >> _U(32)
@@ -130,15 +111,15 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     words = words_of(text)
                     found = shingles(words, size)
-                    nodes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                    nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
                     counts.append(len(found))
-                    values.append(signature(found).tobytes() if words else None)
+                    values.append(signature(found).tobytes() if len(words) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "h", "node", "n_shingles", "values"]
                 )
 
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    return hashed.mapInArrow(releasing(run, forget), "doc_id long, h long, node binary, n_shingles long, values binary")
+    return hashed.mapInArrow(releasing(run), "doc_id long, h long, node binary, n_shingles long, values binary")
 
 
 #: Columns of an order's rows, and what a cell is known by.
@@ -289,7 +270,7 @@ def allowed(tree: int, rows: list[tuple], least: int, percent: int) -> np.ndarra
     return found
 
 
-def walked_cells(rows: DataFrame, extra: list[str], body, made: str, clear=()) -> DataFrame:
+def walked_cells(rows: DataFrame, extra: list[str], body, made: str) -> DataFrame:
     """`body` on the rows (block, node, component, n_shingles, `extra`) of each cell, which a task holds one at a time; it yields tuples of `made`."""
     names = [c.split()[0] for c in made.split(", ")]
     kinds = [pa.int32() if c.endswith(" int") else pa.binary() for c in made.split(", ")]
@@ -316,7 +297,7 @@ def walked_cells(rows: DataFrame, extra: list[str], body, made: str, clear=()) -
         yield table(found)
 
     dealt = rows.select(*columns).repartition(shards(rows), *CELL).sortWithinPartitions(*CELL, "block", "node")
-    return dealt.mapInArrow(releasing(run, *clear), made)
+    return dealt.mapInArrow(releasing(run), made)
 
 
 def joined_in(rows: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
@@ -371,7 +352,7 @@ def meeting(classes: DataFrame, docs: DataFrame, every: DataFrame, size: int, pe
                 sets = [shingles(words_of(t), size).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
 
-    sets = texts.select("node", "text").mapInArrow(releasing(cut, forget), "node binary, shingles binary")
+    sets = texts.select("node", "text").mapInArrow(releasing(cut), "node binary, shingles binary")
     whole = worth.join(sets, "node").join(classes.select("node", "component", "n_shingles"), "node")
     return walked_cells(whole, ["shingles"], lambda cell, rows: list(joined_in(rows, percent)), "a binary, b binary").distinct()
 
@@ -399,7 +380,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     left = pairs.join(named.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("n_shingles").alias("n_b")), "b")
     both = left.join(named.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("n_shingles").alias("n_a")), "a")
     close = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return close.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run, forget), "a binary, b binary")
+    return close.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import hashing
 from marlstone.llm.common import releasing, shards, staged
-from marlstone.llm.near_dedup import _words, forget
 
 #: Words of the runs that minimisers are chosen among.
 RUN = 8
@@ -44,16 +44,15 @@ PART = 1 << 23
 _U = np.uint64
 
 
-def super_kmers(words: list[bytes], size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first windows, minimiser values) of a document's super-k-mers, in order."""
-    n = len(words) - size + 1
+def super_kmers(found: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first windows, minimiser values) of the super-k-mers of a document's word hashes, in order."""
+    n = len(found) - size + 1
     if n > PART:
-        parts = [(at, *super_kmers(words[at : min(at + PART, n) + size - 1], size, run)) for at in range(0, n, PART)]
+        parts = [(at, *super_kmers(found[at : min(at + PART, n) + size - 1], size, run)) for at in range(0, n, PART)]
         return np.concatenate([first + at for at, first, _ in parts]), np.concatenate([mini for *_, mini in parts])
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    found = np.fromiter(map(_words.__getitem__, words), _U, len(words))
-    m = len(words) - run + 1
+    m = len(found) - run + 1
     h = found[:m].copy()
     for k in range(1, run):
         h *= _U(0x9E3779B97F4A7C15)
@@ -87,7 +86,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
         for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
             rows, firsts, minis = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                first, mini = super_kmers((text or "").encode().split(), size, run)
+                first, mini = super_kmers(hashing.words((text or "").encode())[0], size, run)
                 rows.append(np.full(len(first), k))
                 firsts.append(first)
                 minis.append(mini)
@@ -95,7 +94,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
             columns = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (firsts, minis)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), columns[0].cast(pa.int32()), columns[1]], ["doc_id", "h", "first", "mini"])
 
-    return hashed.select("doc_id", "text", "h").mapInArrow(releasing(go, forget), "doc_id long, h long, first int, mini long")
+    return hashed.select("doc_id", "text", "h").mapInArrow(releasing(go), "doc_id long, h long, first int, mini long")
 
 
 def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
@@ -108,14 +107,17 @@ def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
             for part in (whole.slice(k, 500) for k in range(0, len(whole), 500)):
                 rows: list[tuple] = []
                 for doc_id, h, text, listed in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    words, large = (text or "").encode().split(), {x["first"]: x["large"] for x in listed}
-                    first, mini = super_kmers(words, size, run)
-                    ends = np.r_[first[1:], len(words) - size + 1].tolist()
-                    rows += [(doc_id, h, a, b - a, large[a], v, b" ".join(words[a : b + size - 1])) for a, b, v in zip(first.tolist(), ends, mini.tolist()) if a in large]
+                    raw, large = (text or "").encode(), {x["first"]: x["large"] for x in listed}
+                    found, begins, stops = hashing.words(raw)
+                    first, mini = super_kmers(found, size, run)
+                    ends = np.r_[first[1:], len(found) - size + 1].tolist()
+                    for a, b, v in zip(first.tolist(), ends, mini.tolist()):
+                        if a in large:
+                            rows.append((doc_id, h, a, b - a, large[a], v, b" ".join(raw[begins[a] : stops[b + size - 2]].split())))
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return marked.select("doc_id", "h", "text", "listed").mapInArrow(releasing(go, forget), "doc_id long, h long, first int, n_windows int, large boolean, mini long, s binary")
+    return marked.select("doc_id", "h", "text", "listed").mapInArrow(releasing(go), "doc_id long, h long, first int, n_windows int, large boolean, mini long, s binary")
 
 
 def windows_of(s: bytes, size: int) -> list[bytes]:
@@ -210,10 +212,16 @@ def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN, carry: Sequ
             for part in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
                 counts, removed, texts = [], [], []
                 for text, listed in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words = (text or "").encode().split()
+                    raw = (text or "").encode()
+                    if not listed:
+                        counts.append(len(hashing.words(raw)[0]))
+                        removed.append(0)
+                        texts.append(text)
+                        continue
+                    words = raw.split()
                     counts.append(len(words))
                     steps = np.zeros(len(words) + 1, np.int32)
-                    for x in listed or ():
+                    for x in listed:
                         starts = x["first"] + np.arange(x["n_windows"]) if x["at"] is None else x["first"] + np.array(x["at"])
                         np.add.at(steps, starts, 1)
                         np.add.at(steps, starts + size, -1)

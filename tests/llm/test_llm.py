@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters
+from marlstone.llm import hashing, html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY, PIECES = queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model")
@@ -301,6 +301,35 @@ def test_topk_floors():
     assert sorted((r, -int(s), int(k)) for r, k, s in zip(row.tolist(), ids.tolist(), scores.tolist())) == [x for r in range(40) for x in [y for y in brute if y[0] == r][:5]]
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words and no others have equal hashes, wherever they stand and however a text is cut."""
+    rng = np.random.default_rng(23)
+    vocabulary = ["a", "b", "ab", "ba", "aa", "é", "中文", "\x1c", "x" * 700, "\x00", "\x00\x00"]
+    seen = {}
+    for part in (hashing.PART, 64):
+        monkeypatch.setattr(hashing, "PART", part)
+        for _ in range(50):
+            text = "".join(vocabulary[k] + " \n\t  "[s : s + 2] for k, s in zip(rng.integers(0, 11, 60).tolist(), rng.integers(0, 4, 60).tolist()))
+            raw = rng.choice(["", " "]) + text
+            found, starts, ends = hashing.words(raw.encode())
+            assert [raw.encode()[a:b].decode() for a, b in zip(starts, ends)] == words(raw)
+            for word, h in zip(words(raw), found.tolist()):
+                assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) and len(hashing.words(b"")[0]) == len(hashing.words(b" \n")[0]) == 0
+
+
+def test_super_kmers_parts(monkeypatch):
+    """A long text's windows keep their minimisers where its super-k-mers are cut."""
+    found = np.random.default_rng(3).integers(0, 30, 5000).astype(np.uint64)
+
+    def of(first, mini):
+        return np.repeat(mini, np.diff(np.r_[first, len(found) - 34])).tolist()
+
+    whole = of(*substring_dedup.super_kmers(found, 35, 8))
+    monkeypatch.setattr(substring_dedup, "PART", 700)
+    assert of(*substring_dedup.super_kmers(found, 35, 8)) == whole
+
+
 def removed(docs, size):
     all_words = [words(t) for _, t in docs]
     places = defaultdict(list)
