@@ -53,15 +53,13 @@ def shards(df: DataFrame, each: int = 256 << 20) -> int:
 Batches = Iterator[pa.RecordBatch]
 
 
-def releasing(run: Callable[[Batches], Batches], *clear: Callable[[], None]) -> Callable[[Batches], Batches]:
-    """`run` for mapInArrow, which calls `clear` when a task ends, and gives memory back to the system: workers live on between tasks."""
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run` for mapInArrow, which gives freed memory back to the system when a task ends: workers live on between tasks."""
 
     def go(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
-            for each in clear:
-                each()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

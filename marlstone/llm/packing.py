@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marlstone.llm import tokens
-from marlstone.llm.common import releasing
 
 SCHEMA = T.StructType([T.StructField(name, T.LongType()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -121,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         done: list[tuple] = []
         for whole in batches:
-            for batch in (whole.slice(at, 1000) for at in range(0, len(whole), 1000)):
+            for batch in (whole.slice(at, 4000) for at in range(0, len(whole), 4000)):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     done += packer.put(doc_id, ids + end)
                 if len(done) >= 20_000:
@@ -129,4 +128,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
                     done = []
         yield table(done + packer.close())
 
-    return docs.selectExpr("doc_id", "text").mapInArrow(releasing(run, tokens.forget), SCHEMA)
+    return docs.selectExpr("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -27,14 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import releasing
-
 MARK = "▁"
 #: Characters that are indexed at once.
 INDEXED = 200_000
-#: Bytes of words in a generation of a worker's table, about, of which it keeps two; bytes of an entry besides its word
+#: Bytes of words in a generation of a worker's table, about, of which it keeps two, from task to task; bytes of an entry besides its word
 #: and ids; and pairs of pieces that it remembers. Only speed depends on them.
-REMEMBERED, ENTRY, PAIRS = 64 << 20, 180, 400_000
+REMEMBERED, ENTRY, PAIRS = 80 << 20, 180, 600_000
 
 
 class Pieces:
@@ -184,11 +182,6 @@ class Worker:
         """Begins a new generation of words."""
         self.older, self.known, self.held = self.known, {}, 0
 
-    def forget(self) -> None:
-        self.turn()
-        self.older = {}
-        self.pieces.fits.clear()
-
     def _learn(self, words: list[str]) -> None:
         found = self.pieces.encode(words)
         self.known.update(zip(words, found))
@@ -237,21 +230,15 @@ def worker(path: str) -> Worker:
     return _workers[path]
 
 
-def forget() -> None:
-    """Empties the tables of the worker's words."""
-    for held in _workers.values():
-        held.forget()
-
-
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """One row per input row: doc_id, n_tokens long, ids_crc32 long (of little-endian unsigned 32-bit ids), n_chars long and text_crc32 long of the decoded text."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker(model)
-        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
+        for batch in (whole.slice(k, 4000) for whole in batches for k in range(0, len(whole), 4000)):
             ids = held.encode(batch.column(1).to_pylist())
             texts = [held.pieces.decode(x) for x in ids]
             columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [len(t) for t in texts], [zlib.crc32(t.encode()) for t in texts]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(releasing(go, forget), "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
-from marlstone.llm.common import releasing, shards, shared_dir
+from marlstone.llm.common import shards, shared_dir
 
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, n_docs long, n_ids long"
@@ -53,7 +53,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width:
         path, own = f"{folder}/part-{shard:06d}", uuid.uuid4().hex
         offsets, ids, at = [0], [], 0
         with open(f"{path}.{own}.ids", "wb") as out:
-            for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
+            for batch in (whole.slice(k, 4000) for whole in batches for k in range(0, len(whole), 4000)):
                 for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     values = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                     if width == 2 and values.max() > 0xFFFF:
@@ -72,7 +72,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width:
     # samples of the range's keys reach the driver, so the key holds a text's beginning only
     keys = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first(), F.col("place").asc()]
     placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(shards(docs), *keys)
-    return placed.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(releasing(run, tokens.forget), SHARDS)
+    return placed.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(run, SHARDS)
 
 
 def read(spark: SparkSession, shards: list[tuple[int, str, int, int]], width: int = 2) -> DataFrame:

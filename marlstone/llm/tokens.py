@@ -17,9 +17,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Bytes of words in a generation of a worker's tables, about. A worker keeps two: words that the older one alone holds
-#: go when the younger one is full. Only speed depends on it.
-REMEMBERED = 64 << 20
+#: Bytes of words in a generation of a worker's tables, about. A worker keeps two, from task to task: words that the older
+#: one alone holds go when the younger one is full. Only speed depends on it.
+REMEMBERED = 80 << 20
 #: Bytes that an entry of a table takes besides its word and ids.
 ENTRY = 180
 
@@ -50,10 +50,6 @@ class Encoder:
         self.held = 0  # bytes of both tables, about
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def forget(self) -> None:
-        self.turn()
-        self.older = ({}, {})
-
     def turn(self) -> None:
         """Begins a new generation."""
         self.older = (self.spaced, self.bare)
@@ -71,10 +67,10 @@ class Encoder:
         return found
 
     def _learn(self, new: set[str], table: dict[str, bytes], older: dict[str, bytes], lead: str) -> None:
-        again = {w: older[w] for w in new if w in older}
-        table.update(again)
+        again = [w for w in new if w in older]
+        table.update([(w, older[w]) for w in again])
         self.held += ENTRY * len(again)
-        new = {w for w in new if w not in table}
+        new.difference_update(again)
         stopped = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
         need = [w for w in new.difference(stopped).union(w[:-1] for w in stopped) if w not in table]
         found = self._many(need, lead)
@@ -162,9 +158,3 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def forget() -> None:
-    """Empties the tables of the worker's encoders."""
-    for held in _encoders.values():
-        held.forget()
