@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,22 +54,55 @@ def shards(df: DataFrame, each: int = 256 << 20) -> int:
 Batches = Iterator[pa.RecordBatch]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """`run` for mapInArrow, which gives freed memory back to the system when a task ends: workers live on between tasks."""
+    """`run` for mapInArrow, which gives freed memory back when a task ends: workers live on between tasks."""
 
     def go(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return go
 
 
+class Rest:
+    """A worker's tables stay from task to task, and go when it has had no task for `AFTER` seconds."""
+
+    AFTER = 3.0
+
+    def __init__(self, clear: Callable[[], None]):
+        self.clear, self.lock, self.tasks, self.timer = clear, threading.Lock(), 0, None
+
+    def __enter__(self) -> None:
+        with self.lock:
+            self.tasks += 1
+            if self.timer:
+                self.timer.cancel()
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            self.tasks -= 1
+            self.timer = threading.Timer(self.AFTER, self.idle)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def idle(self) -> None:
+        with self.lock:
+            if not self.tasks:
+                self.clear()
+                trim()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back."""
     spark = df.sparkSession

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlstone.llm.common import Rest
+
 MARK = "▁"
 #: Characters that are indexed at once.
 INDEXED = 200_000
@@ -182,6 +184,11 @@ class Worker:
         """Begins a new generation of words."""
         self.older, self.known, self.held = self.known, {}, 0
 
+    def forget(self) -> None:
+        self.turn()
+        self.older = {}
+        self.pieces.fits.clear()
+
     def _learn(self, words: list[str]) -> None:
         found = self.pieces.encode(words)
         self.known.update(zip(words, found))
@@ -230,10 +237,27 @@ def worker(path: str) -> Worker:
     return _workers[path]
 
 
+def _forget() -> None:
+    for held in _workers.values():
+        held.forget()
+
+
+_rest = Rest(_forget)
+
+
+def resting() -> Rest:
+    """To be held by a task while it encodes."""
+    return _rest
+
+
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """One row per input row: doc_id, n_tokens long, ids_crc32 long (of little-endian unsigned 32-bit ids), n_chars long and text_crc32 long of the decoded text."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with resting():
+            yield from done(batches)
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker(model)
         for batch in (whole.slice(k, 4000) for whole in batches for k in range(0, len(whole), 4000)):
             ids = held.encode(batch.column(1).to_pylist())

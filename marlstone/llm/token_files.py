@@ -48,6 +48,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width:
     kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tokens.rest:
+            yield from written(batches)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = tokens.encoder(vocabulary).encode, TaskContext.get().partitionId()
         os.makedirs(folder, exist_ok=True)
         path, own = f"{folder}/part-{shard:06d}", uuid.uuid4().hex

@@ -17,6 +17,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from marlstone.llm.common import Rest
+
 #: Bytes of words in a generation of a worker's tables, about. A worker keeps two, from task to task: words that the older
 #: one alone holds go when the younger one is full. Only speed depends on it.
 REMEMBERED = 80 << 20
@@ -50,6 +52,10 @@ class Encoder:
         self.held = 0  # bytes of both tables, about
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
+    def forget(self) -> None:
+        self.turn()
+        self.older = ({}, {})
+
     def turn(self) -> None:
         """Begins a new generation."""
         self.older = (self.spaced, self.bare)
@@ -158,3 +164,12 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def _forget() -> None:
+    for held in _encoders.values():
+        held.forget()
+
+
+#: To be held by a task while it encodes.
+rest = Rest(_forget)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import hashing, html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters
+from marlstone.llm import common, hashing, html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY, PIECES = queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model")
@@ -488,6 +488,24 @@ def test_sentence_pieces_table(spark, odd, monkeypatch):
     assert [x for t in texts for x in worker.encode([t])] == [np.array(i, "<u4").tobytes() for i in library.encode(texts)]
 
 
+def test_rest(monkeypatch):
+    """Tables go once no task has run for a while, and not while one does."""
+    monkeypatch.setattr(common.Rest, "AFTER", 0.05)
+    gone = []
+    rest = common.Rest(lambda: gone.append(1))
+    with rest:
+        with rest:
+            pass
+        time.sleep(0.2)
+        assert not gone
+    time.sleep(0.3)
+    assert gone == [1]
+    encoder = tokens.Encoder(VOCABULARY)
+    before = encoder.encode(["some words here", "x y"])
+    encoder.forget()
+    assert not encoder.spaced and encoder.encode(["some words here", "x y"]) == before
+
+
 def test_tokens_table(spark):
     """op9's and op3's ids equal the library's on a whole table."""
     import tokenizers
