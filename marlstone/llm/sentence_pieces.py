@@ -34,7 +34,7 @@ MARK = "▁"
 INDEXED = 200_000
 #: Bytes of words in a generation of a worker's table, about, of which it keeps two, from task to task; bytes of an entry besides its word
 #: and ids; and pairs of pieces that it remembers. Only speed depends on them.
-REMEMBERED, ENTRY, PAIRS = 80 << 20, 180, 600_000
+REMEMBERED, ENTRY, PAIRS = 160 << 20, 180, 1_500_000
 
 
 class Pieces:
