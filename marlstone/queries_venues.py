@@ -413,10 +413,10 @@ def top_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH e AS (SELECT user_id, event_id AS i, (value * 10)::BIGINT AS v, event_type AS h FROM events), t AS (SELECT user_id, max(v) AS m FROM e GROUP BY user_id)
+WITH e AS (SELECT user_id, event_id AS i, floor(value / 50)::BIGINT AS v, event_type AS h FROM events), t AS (SELECT user_id, max(v) AS m FROM e GROUP BY user_id)
 SELECT user_id, max(h) AS payload_hash, count(DISTINCT h) > 1 AS tied FROM e JOIN t USING (user_id) WHERE v = m GROUP BY user_id""")
 def newest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 10).cast("long").alias("v"), F.col("event_type").alias("h"))
+    e = read(spark, sf_dir, "events").select("user_id", F.floor(F.col("value") / 50).alias("v"), F.col("event_type").alias("h"))
     return participants.conflicts_to_read(e, "user_id", "v", "h")
 
 
