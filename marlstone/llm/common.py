@@ -9,7 +9,9 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,16 @@ def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]
     return go
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `size` bytes of the texts in `column`; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(batch):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
 class Rest:
     """A worker's tables stay from task to task, and go when it has had no task for `AFTER` seconds."""
 

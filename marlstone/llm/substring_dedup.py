@@ -15,7 +15,8 @@ stands twice in the corpus lies in two super-k-mers of the same minimiser value.
    by a pre-aggregated shuffle on the windows themselves, exactly as well.
 4. Strings with a repeated window send its places back to every document that holds them.
 
-All comparisons of windows are of the words' bytes. Joins on hot minimisers or strings are equi-joins, which adaptive
+All comparisons of windows are of the words' bytes; words longer than `LONG` stand in packed strings as their SHA-256. So a bucket's
+strings are bounded in bytes as well as in number, and its windows are told apart by hashes first, which memory follows. Joins on hot minimisers or strings are equi-joins, which adaptive
 execution splits. Null texts have no words. Every row is a document of its own, so repeated rows repeat each
 other's windows and get equal results; null ids are allowed. Texts are read whole, however long: beyond `PART` windows a
 super-k-mer ends, which changes none of its windows. An empty table gives no rows. Columns other than doc_id
@@ -24,6 +25,7 @@ and text play no part; `carry` names some to pass through.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import hashing
-from marlstone.llm.common import releasing, shards, staged
+from marlstone.llm.common import releasing, shards, slices, staged
 
 #: Words of the runs that minimisers are chosen among.
 RUN = 8
@@ -40,6 +42,8 @@ RUN = 8
 LARGE = 20_000
 #: Windows of a text that are cut into super-k-mers at once: their places and hashes share 64 bits.
 PART = 1 << 23
+#: Bytes of the longest words that packed strings hold themselves; the longest bucket whose windows are sorted as they are.
+LONG, SORTED = 64, 1 << 16
 
 _U = np.uint64
 
@@ -83,7 +87,7 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
     """A row for each super-k-mer: doc_id, h (of the text), first (its first window), mini."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
+        for batch in (part for whole in batches for part in slices(whole, 1, 500)):
             rows, firsts, minis = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 first, mini = super_kmers(hashing.words((text or "").encode())[0], size, run)
@@ -97,25 +101,42 @@ def places(hashed: DataFrame, size: int, run: int) -> DataFrame:
     return hashed.select("doc_id", "text", "h").mapInArrow(releasing(go), "doc_id long, h long, first int, mini long")
 
 
+def short(words: list[bytes]) -> list[bytes]:
+    """The words, long ones by their SHA-256 behind a zero byte; words that begin with one too, so none is taken for another."""
+    return [w if len(w) <= LONG and w[0] else b"\0" + hashlib.sha256(w).hexdigest().encode() for w in words]
+
+
 def packed(marked: DataFrame, size: int, run: int) -> DataFrame:
     """A row for each listed super-k-mer, with its packed words s, from rows (doc_id, h, text, listed)."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
     names = ["doc_id", "h", "first", "n_windows", "large", "mini", "s"]
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in (whole.slice(k, 500) for k in range(0, len(whole), 500)):
-                rows: list[tuple] = []
-                for doc_id, h, text, listed in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    raw, large = (text or "").encode(), {x["first"]: x["large"] for x in listed}
-                    found, begins, stops = hashing.words(raw)
-                    first, mini = super_kmers(found, size, run)
-                    ends = np.r_[first[1:], len(found) - size + 1].tolist()
-                    for a, b, v in zip(first.tolist(), ends, mini.tolist()):
-                        if a in large:
-                            rows.append((doc_id, h, a, b - a, large[a], v, b" ".join(raw[begins[a] : stops[b + size - 2]].split())))
-                columns = list(zip(*rows)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        for part in (part for whole in batches for part in slices(whole, 2, 500)):
+            rows: list[tuple] = []
+            held, listed = 0, part.column(3)
+            ends, values = listed.offsets.to_numpy(), listed.values
+            firsts, larges = values.field("first").to_numpy(), values.field("large").to_numpy(zero_copy_only=False)
+            for k, (doc_id, h, text) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                raw = (text or "").encode()
+                found, begins, stops = hashing.words(raw)
+                first, mini = super_kmers(found, size, run)
+                at = np.searchsorted(first, firsts[ends[k] : ends[k + 1]])
+                behind = np.r_[first[1:], len(found) - size + 1]
+                odd = b"\0" in raw or int((stops - begins).max()) > LONG
+                columns = (first[at], behind[at] - first[at], larges[ends[k] : ends[k + 1]], mini[at], begins[first[at]], stops[behind[at] + size - 2])
+                for a, n, large, v, i, j in zip(*(c.tolist() for c in columns)):
+                    words = raw[i:j].split()
+                    rows.append((doc_id, h, a, n, large, v, b" ".join(short(words) if odd else words)))
+                    held += len(rows[-1][-1])
+                    if held > 4 << 20:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
 
     return marked.select("doc_id", "h", "text", "listed").mapInArrow(releasing(go), "doc_id long, h long, first int, n_windows int, large boolean, mini long, s binary")
 
@@ -131,26 +152,62 @@ def windows_of(s: bytes, size: int) -> list[bytes]:
     return [s[ends[k] + 1 : ends[k + size]] for k in range(len(ends) - size)]
 
 
+def repeated(strings: list[bytes], size: int) -> list[list[int]]:
+    """Of each of distinct strings, the places of its windows that another holds too: by hashes of windows, and by bytes where those are equal."""
+    raw = b" ".join(strings)
+    found, begins, stops = hashing.words(raw)
+    lengths = np.array([s.count(b" ") + 1 for s in strings])
+    owner, offset = np.repeat(np.arange(len(strings), dtype=np.int32), lengths), np.cumsum(lengths) - lengths
+    m = len(found) - size + 1
+    h = found[:m].copy()
+    for k in range(1, size):
+        h *= _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+        h += found[k : m + k]
+    order = np.flatnonzero(owner[:m] == owner[size - 1 :])
+    order = order[np.argsort(h[order], kind="stable")]
+    edges = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]], True])
+    twice = np.zeros(m, bool)
+    for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+        same: dict[bytes, list[int]] = {}
+        for i in order[edges[k] : edges[k + 1]].tolist():
+            same.setdefault(raw[begins[i] : stops[i + size - 1]], []).append(i)
+        for at in same.values():
+            twice[at] = len(at) > 1
+    places: list[list[int]] = [[] for _ in strings]
+    at = np.flatnonzero(twice)
+    for k, i in zip(owner[at].tolist(), (at - offset[owner[at]]).tolist()):
+        places[k].append(i)
+    return places
+
+
+def bucket(rows: list[tuple[bytes, int]], size: int) -> Iterator[tuple[bytes, list[int] | None]]:
+    """From a minimiser's distinct strings and their counts: those with windows found twice, and their places (null: all)."""
+    if len(rows) == 1:
+        if rows[0][1] > 1:
+            yield rows[0][0], None
+        return
+    if sum(len(s) for s, _ in rows) > SORTED:
+        for (s, n), at in zip(rows, repeated([s for s, _ in rows], size)):
+            if n > 1 or at:
+                yield s, None if n > 1 else at
+        return
+    found = sorted((w, k, at) for k, (s, n) in enumerate(rows) if n == 1 for at, w in enumerate(windows_of(s, size)))
+    sure = {w for s, n in rows if n > 1 for w in windows_of(s, size)}
+    twice: dict[int, list[int]] = {}
+    for i, (w, k, at) in enumerate(found):
+        if (i and found[i - 1][0] == w) or (i + 1 < len(found) and found[i + 1][0] == w) or w in sure:
+            twice.setdefault(k, []).append(at)
+    for k, (s, n) in enumerate(rows):
+        if n > 1:
+            yield s, None
+        elif k in twice:
+            yield s, twice[k]
+
+
 def counted(strings: DataFrame, size: int) -> DataFrame:
     """From distinct strings (mini, s, n) sorted within partitions by mini: s, at (places of windows found twice, or null: all)."""
 
-    def bucket(rows: list[tuple[bytes, int]]) -> Iterator[tuple[bytes, list[int] | None]]:
-        if len(rows) == 1:
-            if rows[0][1] > 1:
-                yield rows[0][0], None
-            return
-        found = sorted((w, k, at) for k, (s, n) in enumerate(rows) if n == 1 for at, w in enumerate(windows_of(s, size)))
-        sure = {w for s, n in rows if n > 1 for w in windows_of(s, size)}
-        twice: dict[int, list[int]] = {}
-        for i, (w, k, at) in enumerate(found):
-            if (i and found[i - 1][0] == w) or (i + 1 < len(found) and found[i + 1][0] == w) or w in sure:
-                twice.setdefault(k, []).append(at)
-        for k, (s, n) in enumerate(rows):
-            if n > 1:
-                yield s, None
-            elif k in twice:
-                yield s, twice[k]
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mini, out = None, []
         rows: list[tuple[bytes, int]] = []
@@ -161,16 +218,16 @@ def counted(strings: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for m, s, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if m != mini:
-                    out.extend(bucket(rows) if rows else ())
+                    out.extend(bucket(rows, size) if rows else ())
                     mini, rows = m, []
                     if len(out) > 2000:
                         yield table()
                         out = []
                 rows.append((s, n))
-        out.extend(bucket(rows) if rows else ())
+        out.extend(bucket(rows, size) if rows else ())
         yield table()
 
-    return strings.select("mini", "s", "n").mapInArrow(go, "s binary, at array<int>")
+    return strings.select("mini", "s", "n").mapInArrow(releasing(go), "s binary, at array<int>")
 
 
 def counted_apart(strings: DataFrame, size: int) -> DataFrame:
@@ -209,9 +266,9 @@ def without_repeats(docs: DataFrame, size: int = 35, run: int = RUN, carry: Sequ
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
+            for part in slices(whole, 1, 1000):
                 counts, removed, texts = [], [], []
-                for text, listed in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for text, listed in zip(part.column(1).to_pylist(), (x.as_py() for x in part.column(2))):
                     raw = (text or "").encode()
                     if not listed:
                         counts.append(len(hashing.words(raw)[0]))

@@ -1,13 +1,16 @@
 """The ten operators and the pipeline against brute force on small tables."""
 
 
+import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +351,50 @@ def test_substring_dedup(odd, none, large, monkeypatch):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_substring_dedup_long_words(spark, monkeypatch):
+    """Long words and zero bytes, in buckets sorted or hashed, hashes that meet included: equal to brute force."""
+    rng = np.random.default_rng(5)
+    named = ["a", "b\0", "\0", "\0" + hashlib.sha256(b"x" * 200).hexdigest(), "x" * 200, "y" * 65, "é" * 40, "c", "d"]
+    base = [named[k] for k in rng.integers(0, len(named), 150)]
+    texts = []
+    for k in range(12):
+        own = list(base)
+        for at in rng.integers(0, 150, 2):
+            own[at] = f"own{k}"
+        texts.append((k, " ".join(own)))
+    texts.append((12, texts[0][1].replace("x" * 200, named[3])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = Counter(removed(texts, 35))
+
+    assert Counter((r.doc_id, r.n_words, r.n_removed, " ".join(words(r.text))) for r in substring_dedup.without_repeats(docs).collect()) == want
+    strings = [" ".join(w).encode() for k in range(12) for w in [texts[k][1].split()[a : a + 60] for a in (0, 1, 70)]]
+    rows = [(s, 1) for s in dict.fromkeys(strings)]
+    few = [(s, sorted(at)) for s, at in sorted(substring_dedup.bucket(rows, 35))]
+    monkeypatch.setattr(substring_dedup, "SORTED", 0)
+    assert [(s, sorted(at)) for s, at in sorted(substring_dedup.bucket(rows, 35))] == few and few
+    plain = hashing.words
+    monkeypatch.setattr(hashing, "words", lambda raw: (plain(raw)[0] * np.uint64(0), *plain(raw)[1:]))
+    assert [(s, sorted(at)) for s, at in sorted(substring_dedup.bucket(rows, 35))] == few
+
+
+def test_substring_dedup_memory(spark):
+    """A bucket's memory follows its strings, and those are bounded whatever the words' lengths: not every window as a copy."""
+    rows = [(b" ".join(b"%016d" % (k * 62 + i if i != 31 else 0) for i in range(62)), 1) for k in range(4000)]
+    tracemalloc.start()
+    assert not list(substring_dedup.bucket(rows, 35))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+    text = " ".join(f"{k}".zfill(5000) for k in range(40))
+    docs = spark.createDataFrame([(k, 0, text, [(0, False)]) for k in range(2)], "doc_id long, h long, text string, listed array<struct<first int, large boolean>>")
+    assert all(len(r.s) < 70 * 40 for r in substring_dedup.packed(docs, 35, 8).collect())
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (1, 0, 50, 5, 5, 200, 1, 1, 1, 1)])], ["t"])
+    assert [len(x) for x in common.slices(batch, 0, 3, 60)] == [3, 2, 1, 3, 1] and len(pa.Table.from_batches(common.slices(batch.slice(2), 0, 3, 60))) == 8
+
+
 def test_quality_rules(odd, none):
     got = {r.doc_id: r for r in quality_rules.ledger(odd).collect()}
     assert got[7].n_repeat_words == 200 and got[4].n_words == 0 and got[1].n_words == 37 and got[8].word_chars == 2
