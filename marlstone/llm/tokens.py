@@ -2,8 +2,9 @@
 
 A byte-level BPE tokenizer whose pre-tokenizer cuts text by the usual pattern never joins what lies on
 either side of a single space or line end, nor a letter with a full stop behind it. So a text's ids are
-those of its words in a row, each with the space before it, and words are looked up in tables of the
-worker. Words that a table lacks are encoded by the library, many in one call with line ends between.
+those of its words in a row, each with the space or line end before it, and a worker keeps the ids of words in a table (`word_ids`).
+Words that it lacks are encoded by the library, many in one call with line ends between. Texts with other white space
+are cut one by one.
 Texts that hold the string of an added token go through the library whole, by its defaults.
 This holds for tokenizers of that kind only; others go through the library text by text.
 """
@@ -17,23 +18,16 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from marlstone.llm import word_ids
 from marlstone.llm.common import Rest
 
-#: Bytes of words in a generation of a worker's tables, about. A worker keeps two, from task to task: words that the older
-#: one alone holds go when the younger one is full. Only speed depends on it.
-REMEMBERED = 80 << 20
-#: Bytes that an entry of a table takes besides its word and ids.
-ENTRY = 180
+#: Bytes of a worker's table of words, about, which stays from task to task; characters of texts that are cut at once, about. Only speed depends on them.
+REMEMBERED, CUT = 96 << 20, 6 << 20
 
 # the library's white space is Unicode's, which lacks four control characters that Python counts
 _PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 
 
-def plain(text: str) -> bool:
-    """Whether a text is words with one space or line end between."""
-    return " ".join(text.split()) == text.replace("\n", " ") and text != ""
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,115 +41,69 @@ class Encoder:
         self.by_word = not read.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(line_end) == 1
         self.line_end = line_end[0]
         self.added = [t["content"] for t in read.get("added_tokens") or [] if t["content"]]
-        self.spaced: dict[str, bytes] = {}  # by the word behind a space
-        self.bare: dict[str, bytes] = {}  # by the word or white space itself
-        self.held = 0  # bytes of both tables, about
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.spaced = word_ids.Words(self._learn, REMEMBERED)  # by the word with the space or line end before it
+        self.gaps: dict[str, bytes] = {}  # by other white space
 
     def forget(self) -> None:
-        self.turn()
-        self.older = ({}, {})
-
-    def turn(self) -> None:
-        """Begins a new generation."""
-        self.older = (self.spaced, self.bare)
-        self.spaced, self.bare, self.held = {}, {}, 0
+        self.spaced.clear()
+        self.gaps = {}
 
-    def _many(self, words: list[str], lead: str) -> list[bytes]:
-        """The ids of `lead` and each word, none of which holds white space."""
+    def _many(self, units: list[str]) -> list[bytes]:
+        """The ids of units, of those behind a line end with its own."""
         found: list[bytes] = []
-        texts = [("\n" + lead) + ("\n" + lead).join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        behind = [4 * (u[0] == " ") for u in units]
+        texts = ["".join(["\n" + u if u[0] == " " else u for u in units[at : at + 200]]) for at in range(0, len(units), 200)]
         for encoded in self.library.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(encoded.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
+            cuts = np.flatnonzero(ids == self.line_end) * 4
             raw = ids.tobytes()
-            found += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)])]
+            found += [raw[a + n : b] for a, b, n in zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)], behind[len(found) :])]
         return found
 
-    def _learn(self, new: set[str], table: dict[str, bytes], older: dict[str, bytes], lead: str) -> None:
-        again = [w for w in new if w in older]
-        table.update([(w, older[w]) for w in again])
-        self.held += ENTRY * len(again)
-        new.difference_update(again)
-        stopped = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
-        need = [w for w in new.difference(stopped).union(w[:-1] for w in stopped) if w not in table]
-        found = self._many(need, lead)
-        table.update(zip(need, found))
-        self.held += ENTRY * (len(new) + len(need)) + sum(map(len, need)) + sum(map(len, found))
-        if stopped:
-            stops = dict(zip(",.", self._many([",", "."], "")))
-            table.update([(w, table[w[:-1]] + stops[w[-1]]) for w in stopped])
+    def _learn(self, units: list[str]) -> list[bytes]:
+        stopped = [u for u in units if u[-1] in ",." and u[1:-1].isalpha()]
+        need = list(set(units).difference(stopped))
+        known = dict(zip(need, self._many(need)))
+        if stopped:  # a word and its stop are two units of the library
+            stems = list({u[:-1] for u in stopped}.difference(need))
+            known.update(zip(stems, self.spaced.of(stems)))
+            stops = {c: ids[4:] for c, ids in zip(",.", self._many(["\n,", "\n."]))}
+            known.update([(u, known[u[:-1]] + stops[u[-1]]) for u in stopped])
+        return list(map(known.__getitem__, units))
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts with any white space."""
+        cut = [_PIECE.findall(text) for text in texts]
+        known: dict[str, bytes] = {}
+        distinct = {p for pieces in cut for p in pieces}
+        spaced = [p for p in distinct if p[0] == " " and len(p) > 1 and not p.isspace()]
+        gaps = [p for p in distinct if p.isspace()]
+        bare = list(distinct.difference(spaced, gaps))
+        known.update(zip(spaced, self.spaced.of(spaced)))
+        known.update(zip(bare, [ids[4:] for ids in self.spaced.of(["\n" + p for p in bare])]))
+        if len(self.gaps) > 10_000:
+            self.gaps = {}
+        for p in gaps:
+            if p not in self.gaps:
+                self.gaps[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            known[p] = self.gaps[p]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        if self.held > REMEMBERED:
-            self.turn()
-        line_end = self.line_end.to_bytes(4, "little")
         out: list[bytes] = []
-        later: list[tuple[int, list[str], list[str]]] = []  # texts with words that are new
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        behind, alone = self.spaced.get, self.bare.get
-        for text in texts:
-            if any(a in text for a in self.added):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif plain(text):
-                if "\n" in text:
-                    # a line's first word has no space before it: its ids follow the line end's
-                    first, *lines = text.split("\n")
-                    words = first.split(" ")
-                    heads = [words.pop(0)]
-                    marks = [0]
-                    for line in lines:
-                        head, *rest = line.split(" ")
-                        heads.append(head)
-                        marks.append(len(words))
-                        words += rest
-                else:
-                    words = text.split(" ")
-                    heads, marks = [words.pop(0)], [0]
-                found, led = list(map(behind, words)), list(map(alone, heads))
-                if None in found or None in led:
-                    spaced.update([w for w, f in zip(words, found) if f is None])
-                    bare.update([w for w, f in zip(heads, led) if f is None])
-                    later.append((len(out), words, heads, marks))
-                    out.append(b"")
-                else:
-                    out.append(woven(found, led, marks, line_end))
-            else:
-                pieces = _PIECE.findall(text)
-                for p in pieces:
-                    if p[0] == " " and len(p) > 1 and not p.isspace():
-                        spaced.add(p[1:])
-                    elif not p.isspace():
-                        bare.add(p)
-                    elif p not in self.bare:
-                        self.bare[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                        self.held += ENTRY + 5 * len(p)
-                later.append((len(out), pieces, None, None))
-                out.append(b"")
-        self._learn(spaced, self.spaced, self.older[0], " ")
-        self._learn(bare, self.bare, self.older[1], "")
-        behind, alone = self.spaced.__getitem__, self.bare.__getitem__
-        for at, words, heads, marks in later:
-            if heads is None:
-                out[at] = b"".join([behind(p[1:]) if p[0] == " " and len(p) > 1 and not p.isspace() else alone(p) for p in words])
-            else:
-                out[at] = woven(list(map(behind, words)), list(map(alone, heads)), marks, line_end)
+        for part in word_ids.grouped(texts, CUT):
+            self.spaced.trim()
+            ids = {k: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(part) if any(a in t for a in self.added)}
+            left = [k for k, t in enumerate(part) if t and k not in ids]
+            ids.update(zip(left, word_ids.encoded(self.spaced, [part[k] for k in left], b"\n", 4, self._pieces)))
+            out += [ids.get(k, b"") for k in range(len(part))]
         return out
 
 
-def woven(found: list[bytes], heads: list[bytes], marks: list[int], line_end: bytes) -> bytes:
-    """The ids of lines: each head, then the words from its mark to the next."""
-    if len(heads) == 1:
-        return heads[0] + b"".join(found)
-    ends = [*marks[1:], len(found)]
-    return line_end.join([head + b"".join(found[a:b]) for head, a, b in zip(heads, marks, ends)])
-
-
 _encoders: dict[str, Encoder] = {}
 
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import common, hashing, html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters
+from marlstone.llm import common, hashing, html_extraction, line_dedup, near_dedup, oracles, packing, quality_rules, queries, sentence_pieces, substring_dedup, token_files, tokens, topk_search, url_filters, word_ids
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY, PIECES = queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model")
@@ -176,6 +176,39 @@ def test_tokens_added():
     assert tokens.Encoder(VOCABULARY).encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("limit", [0, 2000, 1 << 30])
+def test_tokens_words(monkeypatch, limit):
+    """Ids equal the library's for words and white space of any kind, however small the table of words is, and the table is flat arrays."""
+    monkeypatch.setattr(tokens, "REMEMBERED", limit)
+    monkeypatch.setattr(tokens, "CUT", 300)
+    rng = np.random.default_rng(3)
+    named = ["a", "word", "end.", "so,", "Mr.", ".", "x.y,", "don't", "1,", "é", "日本", "\x00", "\u200b", "a\x1cb", "—", "…"]
+    gaps = [" "] * 30 + ["\n"] * 6
+    other = ["  ", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", " \n"]
+    texts = []
+    for k in range(400):
+        between = gaps if k % 2 else gaps + other
+        texts.append("".join(named[rng.integers(len(named))] + between[rng.integers(len(between))] for _ in range(rng.integers(0, 30))) + ("" if k % 3 else "z"))
+    texts += [g + "b" for g in other] + ["b" + g for g in other] + ["a" + g + "b" for g in other] + ["", " ", "\n"]
+    encoder = tokens.Encoder(VOCABULARY)
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want and encoder.encode([None, *texts]) == [b"", *want]
+    encoder.encode([" ".join(f"w{k}" for k in range(20_000))])
+    assert limit < 1 << 30 or len(encoder.spaced) > 20_000 > (encoder.spaced.units.nbytes + encoder.spaced.ids.nbytes) / 60
+    encoder.encode(["x"])
+    assert len(encoder.spaced) < 10 or limit == 1 << 30
+
+
+def test_word_ids_collisions(monkeypatch):
+    """Words of one hash are told apart by their bytes."""
+    plain = hashing.words
+    monkeypatch.setattr(hashing, "words", lambda raw: (plain(raw)[0] & np.uint64(1), *plain(raw)[1:]))
+    table = word_ids.Words(lambda units: [u.encode("utf-32-le") for u in units], 1 << 20)
+    for _ in range(3):
+        units = [lead + w for lead in " \n" for w in "abcdefgh"]
+        assert table.of(units) == [u.encode("utf-32-le") for u in units]
+
+
 def encoded(text):
     return [*np.frombuffer(tokens.encoder(VOCABULARY).encode([text])[0], "<u4").tolist(), 0]
 
