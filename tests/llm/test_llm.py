@@ -245,6 +245,23 @@ def test_token_files(odd, none):
         at += len(ids)
 
 
+def test_token_files_words(spark, monkeypatch):
+    """What the files hold equals the library's ids when texts of all kinds of white space meet in a batch."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(VOCABULARY)
+    texts = [None, "", "plain words.\nso plain", "tab\there  two", " lead", "nb\xa0sp end.", "x\u2028y", "a, b. c,", "<|endoftext|> a", "\x00 \x1c"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    start = 0
+    for r in sorted(token_files.write_and_read(docs, VOCABULARY).collect()):
+        ids = np.array([*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(r) == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    encoder = tokens.Encoder(VOCABULARY)
+    encoder.encode([" ".join(f"w{k}" for k in range(20_000))])
+    assert len(encoder.spaced) == 20_000 > (encoder.spaced.units.nbytes + encoder.spaced.ids.nbytes) / 60
+
+
 def test_url_filters(spark):
     urls = {
         1: "http://a.EXAMPLE.org/es/x?q", 2: "https://example.org/en/1234", 3: "http://x.org/", 4: "http://x.org", 5: "http://b.com/fr/", 6: "http://b.com/de/1#t", 7: None, 8: "no scheme", 9: "http://my.adult-x.net/", 10: "ftp://notexample.org/es/", 11: "http://x.net/a", 12: "",
