@@ -10,8 +10,8 @@ ending there that fits the piece before, and a unit's result is read from its en
 out by plain merging and remembered. Characters that no piece covers become their UTF-8 bytes' pieces.
 
 No piece of such a model goes on past a word into the next space, nor over characters that no piece holds, so words
-are independent and a worker encodes each once while it remembers it. Models that normalise, or whose pieces cross
-words, are refused. Decoding joins the bytes that each id stands for, looked up in one table.
+are independent and a worker encodes each once while it remembers it (`word_ids`). Models that normalise, or whose pieces cross
+words, are refused. Decoding joins the bytes that each id stands for, looked up in one table for many texts at once.
 Null texts count as empty and have no ids. Decoding drops the space put in front; U+2581 in a text comes
 back as a space, as in the library. Texts of any length and of any characters are encoded whole. Rows are encoded one by
 one, repeated ones and null ids too; an empty table gives no rows; columns other than doc_id and text play no part.
@@ -27,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlstone.llm import word_ids
 from marlstone.llm.common import Rest
 
 MARK = "▁"
 #: Characters that are indexed at once.
 INDEXED = 200_000
-#: Bytes of words in a generation of a worker's table, about, of which it keeps two, from task to task; bytes of an entry besides its word
-#: and ids; and pairs of pieces that it remembers. Only speed depends on them.
-REMEMBERED, ENTRY, PAIRS = 160 << 20, 180, 1_500_000
+#: Bytes of a worker's table of words, about, which stays from task to task; pairs of pieces that it remembers; characters of texts
+#: that are cut at once, about. Only speed depends on them.
+REMEMBERED, PAIRS, CUT = 160 << 20, 1_500_000, 6 << 20
 
 
 class Pieces:
@@ -81,7 +82,7 @@ class Pieces:
         spaced = [b"" if k in self.silent else p.replace(MARK, " ").encode() for k, p in enumerate(self.text)]
         for b, k in self.byte.items():
             spaced[k] = bytes([b])
-        self.bytes_of = spaced
+        self.stand = pa.array(spaced, pa.large_binary())  # bytes that an id stands for
 
     def merged(self, text: str) -> list[str]:
         """The result for a short text by plain merging: the best pair first, the leftmost of equals."""
@@ -163,11 +164,20 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids (unsigned 32-bit, little-endian): marks as spaces, without the space put in front."""
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The texts of several texts' ids."""
+        coded = self.stand.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        ends = np.frombuffer(coded.buffers()[1] or bytes(8), np.int64)[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        held = memoryview(coded.buffers()[2] or b"")
+        texts = [str(held[a:b], "utf-8", "replace").replace(MARK, " ") for a, b in zip(ends, ends[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: What a unit of the table of words doesn't hold behind its first mark.
+_OTHER = re.compile(rf"[{MARK}\x09-\x0d]")
 
 
 class Worker:
@@ -175,57 +185,57 @@ class Worker:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.known = word_ids.Words(self._learn, REMEMBERED)  # by the word with the space or line end before it
         self.line_end = self.pieces.byte[10].to_bytes(4, "little")
 
-    def turn(self) -> None:
-        """Begins a new generation of words."""
-        self.older, self.known, self.held = self.known, {}, 0
-
     def forget(self) -> None:
-        self.turn()
-        self.older = {}
+        self.known.clear()
         self.pieces.fits.clear()
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.pieces.encode(words)
-        self.known.update(zip(words, found))
-        self.held += ENTRY * len(words) + sum(map(len, words)) + sum(map(len, found))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        if self.held > REMEMBERED:
-            self.turn()
-        cut: list[list[list[str]]] = []
-        new: set[str] = set()
-        for text in texts:
-            lines = (MARK + text.replace(" ", MARK)).split("\n") if text else []
-            units = [_UNIT.findall(line) for line in lines]
-            cut.append(units)
-            new.update([u for line in units for u in line if u not in self.known])
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of marks, words, and words behind marks."""
+        found: dict[str, bytes] = {}
         batch: list[str] = []
         size = 0
-        for unit in new:
-            if unit in self.older:
-                self.known[unit] = self.older[unit]
-                self.held += ENTRY
-                continue
+        for unit in units:
             if "\x00" in unit:  # the separator of the index: encoded around it
-                around = [self.pieces.encode([part])[0] if part else b"" for part in unit.split("\x00")]
-                self.known[unit] = self.pieces.byte[0].to_bytes(4, "little").join(around)
-                self.held += ENTRY + 5 * len(unit)
+                found[unit] = self.pieces.byte[0].to_bytes(4, "little").join([self.pieces.encode([part])[0] if part else b"" for part in unit.split("\x00")])
                 continue
             batch.append(unit)
             size += len(unit) + 1
             if size > INDEXED:
-                self._learn(batch)
+                found.update(zip(batch, self.pieces.encode(batch)))
                 batch, size = [], 0
         if batch:
-            self._learn(batch)
-        get = self.known.__getitem__
-        return [self.line_end.join([b"".join(map(get, line)) for line in units]) for units in cut]
+            found.update(zip(batch, self.pieces.encode(batch)))
+        return list(map(found.__getitem__, units))
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        ids = self._units([MARK + u[1:] if u[0] == " " else u[1:] for u in units])
+        return [x if u[0] == " " else self.line_end + x for u, x in zip(units, ids)]
+
+    def _lines(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts with any white space and marks."""
+        cut = [[_UNIT.findall(line) for line in (MARK + text.replace(" ", MARK)).split("\n")] for text in texts]
+        distinct = {u for lines in cut for units in lines for u in units}
+        words = [u for u in distinct if u != MARK and not _OTHER.search(u, u[0] == MARK)]
+        known = dict(zip(words, self.known.of([" " + u[1:] if u[0] == MARK else "\n" + u for u in words])))
+        known.update([(u, x[4:]) for u, x in known.items() if u[0] != MARK])
+        others = list(distinct.difference(words))
+        known.update(zip(others, self._units(others)))
+        return [self.line_end.join([b"".join(map(known.__getitem__, units)) for units in lines]) for lines in cut]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        out: list[bytes] = []
+        for part in word_ids.grouped([t or "" for t in texts], CUT):
+            self.known.trim()
+            marked = [k for k, t in enumerate(part) if MARK in t]
+            ids = dict(zip(marked, self._lines([part[k] for k in marked])))
+            left = [k for k, t in enumerate(part) if t and k not in ids]
+            ids.update(zip(left, word_ids.encoded(self.known, [part[k] for k in left], b" ", 0, self._lines)))
+            out += [ids.get(k, b"") for k in range(len(part))]
+        return out
 
 
 _workers: dict[str, Worker] = {}
@@ -261,7 +271,7 @@ def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
         held = worker(model)
         for batch in (whole.slice(k, 4000) for whole in batches for k in range(0, len(whole), 4000)):
             ids = held.encode(batch.column(1).to_pylist())
-            texts = [held.pieces.decode(x) for x in ids]
+            texts = held.pieces.decode_all(ids)
             columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [len(t) for t in texts], [zlib.crc32(t.encode()) for t in texts]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_crc32"])
 

@@ -585,6 +585,31 @@ def test_sentence_pieces_table(spark, odd, monkeypatch):
     assert [x for t in texts for x in worker.encode([t])] == [np.array(i, "<u4").tobytes() for i in library.encode(texts)]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_sentence_pieces_words(monkeypatch, limit):
+    """Ids and decoded texts equal the library's for words, marks and white space of any kind, however small the table of words is; that is flat arrays."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", limit)
+    monkeypatch.setattr(sentence_pieces, "CUT", 300)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = np.random.default_rng(4)
+    named = ["a", "word", "end.", "▁", "x▁y", "▁▁z", "é", "日本", "\x00", "a\x00b", "\u200b", "a\x1cb", "<s>", "…"]
+    gaps = [" "] * 30 + ["\n"] * 6
+    other = ["  ", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", " \n", "\n "]
+    texts = []
+    for k in range(300):
+        some, between = (named[:3] + named[6:], gaps) if k % 2 else (named, gaps + other)
+        texts.append("".join(some[rng.integers(len(some))] + between[rng.integers(len(between))] for _ in range(rng.integers(0, 30))) + ("" if k % 3 else "z"))
+    texts += [g + "b" for g in other] + ["b" + g for g in other] + ["a" + g + "b" for g in other] + ["", " ", "\n"]
+    worker = sentence_pieces.Worker(PIECES)
+    want = [np.array(i, "<u4").tobytes() for i in library.encode(texts)]
+    assert worker.encode(texts) == want and worker.encode([None, *texts]) == [b"", *want]
+    assert worker.pieces.decode_all(want) == library.decode(library.encode(texts)) and worker.pieces.decode_all([]) == [] and worker.pieces.decode(b"") == ""
+    worker.encode([" ".join(f"w{k}" for k in range(5000))])
+    assert limit == 0 or len(worker.known) > 5000 > (worker.known.units.nbytes + worker.known.ids.nbytes) / 60
+
+
 def test_rest(monkeypatch):
     """Tables go once no task has run for a while, and not while one does."""
     monkeypatch.setattr(common.Rest, "AFTER", 0.05)
