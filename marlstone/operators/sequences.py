@@ -39,8 +39,8 @@ def holes(intervals: DataFrame, keys: Sequence[str], start: str = "start", end:
     return reached.where("hole_start is not null and hole_end > hole_start")
 
 
-def running_max(rows: DataFrame, keys: Sequence[str], order: str, value: str, ranges: int = 64) -> DataFrame:
-    """Adds `running`: the greatest value of a key's rows up to each, rows of one place included.
+def running_max(rows: DataFrame, keys: Sequence[str], order: str, value: str, ranges: int = 64, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds `running`: the greatest value of a key's rows up to each, rows of one place included; with `ties`, which order those, up to the row itself.
 
     Few keys may hold all rows, so each key is cut into ranges of the order (approximate quantiles, one pass): maxima run within a
     range, and the maxima of the ranges before it, of which there are `ranges` a key, are joined to it."""
@@ -50,6 +50,7 @@ def running_max(rows: DataFrame, keys: Sequence[str], order: str, value: str, ra
     tops = cut.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*keys, "_range", F.max("_top").over(before).alias("_before"))
-    within = Window.partitionBy(*keys, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_range").orderBy(order, *ties)
+    within = within.rowsBetween(Window.unboundedPreceding, 0) if ties else within.rangeBetween(Window.unboundedPreceding, 0)
     run = cut.withColumn("_within", F.max(value).over(within))
     return run.join(tops, [*keys, "_range"], "left").withColumn("running", F.greatest("_before", "_within")).drop("_range", "_within", "_before")

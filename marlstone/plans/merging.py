@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,27 +21,28 @@ from marlstone.operators.sequences import running_max
 LATENESS_MS = 120_000
 
 
-def receive_clock(rows: DataFrame) -> DataFrame:
+def receive_clock(rows: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """Adds `clock`, each copy's receive time made monotone in the order of its sequence. Copies are few, so each is cut into ranges."""
-    return running_max(rows, ["copy"], "seq", "received_ms").withColumnRenamed("running", "clock")
+    return running_max(rows, ["copy"], "seq", "received_ms", ties=ties).withColumnRenamed("running", "clock")
 
 
-def with_lateness(rows: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
+def with_lateness(rows: DataFrame, lateness_ms: int = LATENESS_MS, ties: Sequence[str] = ()) -> DataFrame:
     """Adds `clock` and `late`: the venue time lies before the watermark, or further past the receipt than the lateness.
 
     Copies are merged in the order of their clocks, so the greatest clock up to a row is the row's own, and the
     watermark needs no order over the whole feed."""
-    timed = receive_clock(rows)
+    timed = receive_clock(rows, ties)
     late = (F.col("venue_ms") < F.col("clock") - lateness_ms) | (F.col("venue_ms") > F.col("received_ms") + lateness_ms)
     return timed.withColumn("late", F.coalesce(late, F.lit(False)))
 
 
-def merge(rows: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
+def merge(rows: DataFrame, lateness_ms: int = LATENESS_MS, ties: Sequence[str] = ()) -> DataFrame:
     """scope, venue_ms, digest, k, copies (sorted), first_received_ms, late: one row per message occurrence.
 
-    Input rows: copy, seq, received_ms, scope, venue_ms, digest. An occurrence is late only if all its copies are."""
-    k = F.row_number().over(Window.partitionBy("copy", "scope", "venue_ms", "digest").orderBy("seq"))
-    numbered = with_lateness(rows, lateness_ms).withColumn("k", k)
+    Input rows: copy, seq, received_ms, scope, venue_ms, digest. An occurrence is late only if all its copies are.
+    Where a copy's sequence isn't unique, `ties` names the columns that order its equals."""
+    k = F.row_number().over(Window.partitionBy("copy", "scope", "venue_ms", "digest").orderBy("seq", *ties))
+    numbered = with_lateness(rows, lateness_ms, ties).withColumn("k", k)
     return numbered.groupBy("scope", "venue_ms", "digest", "k").agg(
         F.array_sort(F.collect_set("copy")).alias("copies"), F.min("received_ms").alias("first_received_ms"), F.min(F.col("late").cast("int")).cast("boolean").alias("late")
     )

@@ -56,6 +56,13 @@ def test_history_rounding(spark, tmp_path):
     matches_sql(spark, tmp_path, "history_reconcile", same + late)
 
 
+def test_merge_ties(spark, tmp_path):
+    """Of events of one millisecond those before the delayed one aren't late; equal events are numbered in the table's order."""
+    same = [(i, "2024-01-02 01:00:00.005000", i % 3, "view", 1.0) for i in range(76, 85)]
+    equal = [(i, f"2024-01-02 0{h}:00:00", 5, "click", 1.0) for h, ids in ((2, (119, 120, 121)), (3, (160, 161, 163)), (4, (199, 200))) for i in ids]
+    matches_sql(spark, tmp_path, "merge_copies", same + equal)
+
+
 def test_bars(spark):
     quotes = spark.createDataFrame([(t, k, m, s) for k, ms, s in (("t1", (0.4, 0.6, 0.5), 100.0), ("t2", (0.5, 0.5, 0.5), 50.0)) for t, m in zip((0, 20, 40), ms)], "ts long, token_id string, mid double, spread_bps double")
     got = {r.token_id: r for r in bars.bar_features(quotes, 60, 60).collect()}
