@@ -222,8 +222,10 @@ def order_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id")
     word = lambda x: F.lpad(F.lower(F.hex(x)), 64, "0")
     big = F.expr("cast(event_id as decimal(38,0)) * cast(1000000007 as decimal(10,0)) * cast(1000000007 as decimal(10,0))").cast("decimal(38,0)")
-    high, low = F.floor(big / F.lit(2**48).cast("decimal(20,0)")).cast("decimal(38,0)"), (big % F.lit(2**48).cast("decimal(20,0)")).cast("long")
-    amount = F.concat(F.lpad(F.lower(F.hex(high.cast("long"))), 52, "0"), F.lpad(F.lower(F.hex(low)), 12, "0"))
+    span = F.lit(2**48).cast("decimal(20,0)")
+    # the rest is taken off first: a quotient keeps six decimals and rounds, so that just below a whole number it would be that number
+    high, low = ((big - big % span) / span).cast("long"), (big % span).cast("long")
+    amount = F.concat(F.lpad(F.lower(F.hex(high)), 52, "0"), F.lpad(F.lower(F.hex(low)), 12, "0"))
     side = F.when(F.col("event_id") % 5 == 0, 2).otherwise(F.col("event_id") % 2)
     maker = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("1"), F.substring(word(F.col("event_id")), 2, 63))).otherwise(word(F.col("event_id")))
     topics = F.array(F.when(F.col("event_id") % 7 == 0, F.lit("0xbb")).otherwise(F.lit("0xAA")), F.concat(F.lit("0x"), word(F.lit(1))), F.concat(F.lit("0x"), maker), F.concat(F.lit("0x"), word(F.lit(2))))

@@ -63,6 +63,14 @@ def test_merge_ties(spark, tmp_path):
     matches_sql(spark, tmp_path, "merge_copies", same + equal)
 
 
+def test_fills_exact(spark, tmp_path):
+    """Amounts just below a multiple of 2^48, and large ones, are exact."""
+    M = 1_000_000_007**2
+    ids = [i for i in range(6_000_000) if i * M % 2**48 >= 2**48 - 2**26]
+    assert any(all(i % k for k in (5, 7, 9, 11, 13)) for i in ids)
+    matches_sql(spark, tmp_path, "order_fills", [(i, "2024-01-02", 1, "view", 1.0) for i in [*ids, 1, 17, 10**9 + 7, 10**12 + 1]])
+
+
 def test_bars(spark):
     quotes = spark.createDataFrame([(t, k, m, s) for k, ms, s in (("t1", (0.4, 0.6, 0.5), 100.0), ("t2", (0.5, 0.5, 0.5), 50.0)) for t, m in zip((0, 20, 40), ms)], "ts long, token_id string, mid double, spread_bps double")
     got = {r.token_id: r for r in bars.bar_features(quotes, 60, 60).collect()}
